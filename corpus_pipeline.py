@@ -1,19 +1,56 @@
-"""Corpus pipeline over the operators of quillspan.llm."""
+"""Corpus pipeline over the operators of quillspan.llm.
+
+Each stage works on all that the one before it kept and returns the columns of documents, but for
+the last, which returns the pieces of packed sequences. n_chars, where present, follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspan.llm import decontaminate
+from quillspan.llm import decontaminate, jaccard, linededup, packing, quality
+from quillspan.llm.queries import tokenizer_path
 from quillspan.llm.store import table, written
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score THRESHOLD or more."""
+    score = quality.scorer(spark, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score("text") >= quality.THRESHOLD)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that recur across them; a document that this empties stays, empty."""
+    out = linededup.drop_recurring(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("benchmark decontamination", decontaminated)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", packed),
+]
 
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds it against brute force.
 ORACLE_SQL = None
 
 
