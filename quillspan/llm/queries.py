@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, linededup, neighbours, packing, quality, secretscan, sharding
+from . import chat, decontaminate, jaccard, linededup, neighbours, packing, quality, secretscan, sharding, suffixes
 from .store import table, written
 
 SHARDS = 16
@@ -69,6 +69,10 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_line_dedup, op5_quality, op6_jaccard_join, op7_chat_tree, op8_sharding, op9_neighbours)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_line_dedup, op5_quality, op6_jaccard_join, op7_chat_tree, op8_sharding, op9_neighbours, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {}

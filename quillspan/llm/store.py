@@ -41,13 +41,26 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a frame from written() that nothing reads any more."""
+    gone = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
+    for own in list(_OWN):
+        if own[1].split(":", 1)[-1].lstrip("/") in gone:
+            _OWN.remove(own)
+            _delete(*own)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget() -> None:
     """Delete what written() has left."""
     while _OWN:
         spark, path = _OWN.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already
             return
 
