@@ -20,6 +20,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: inside lambdas an expression would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nfc_bengali(c) -> Column:
     """NFC for Bengali text; other scripts are taken as composed already (see nfc for the rest)."""
     c = col(c)
@@ -99,18 +104,19 @@ def token_spans(c) -> Column:
 
 
 def _windows(a: Column, n: int) -> Column:
-    return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.slice(a, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+    none = F.array().cast("array<array<string>>")
+    return let(a, lambda v: F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - n + 1), lambda i: F.slice(v, i, F.lit(n)))).otherwise(none))
 
 
-def char_ngrams(c, low: int = 3, high: int = 5) -> Column:
-    """n-grams of each token in angle brackets, repeats kept."""
+def _substrings(t: Column, n: int) -> Column:
+    none = F.array().cast("array<string>")
+    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none)
 
-    def grams(t: Column) -> Column:
-        t = F.concat(F.lit("<"), t, F.lit(">"))
-        sizes = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.concat(*sizes)
 
-    return F.flatten(F.transform(tokenize_lower(c), grams))
+def char_ngrams(c, low: int = 3, high: int = 5) -> Column:
+    """n-grams of each token in angle brackets, repeats kept."""
+    bracketed = F.transform(tokenize_lower(c), lambda t: F.concat(F.lit("<"), t, F.lit(">")))
+    return F.flatten(F.transform(bracketed, lambda t: F.concat(*[_substrings(t, n) for n in range(low, high + 1)])))
 
 
 def sentences(c) -> Column:
@@ -118,25 +124,23 @@ def sentences(c) -> Column:
 
 
 def char_trigrams(c) -> Column:
-    t = F.concat(F.lit(" "), F.lower(normalize(c)), F.lit(" "))
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return let(F.concat(F.lit(" "), F.lower(normalize(c)), F.lit(" ")), lambda t: F.array_distinct(_substrings(t, 3)))
 
 
 def trigram_cosine(a, b) -> Column:
-    x, y = char_trigrams(a), char_trigrams(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x).cast("double") * F.size(y)))
+    both = F.struct(char_trigrams(a).alias("x"), char_trigrams(b).alias("y"))
+    return let(both, lambda v: F.when((F.size(v["x"]) == 0) | (F.size(v["y"]) == 0), 0.0).otherwise(F.size(F.array_intersect(v["x"], v["y"])) / F.sqrt(F.size(v["x"]).cast("double") * F.size(v["y"]))))
 
 
 def word_shingles(c, n: int = 3) -> Column:
     """Set of n-word strings of the matching form; the whole of it if it has fewer words."""
-    m = normalize_for_match(c)
-    w = F.filter(F.split(m, " "), lambda t: t != "")
-    return F.when(F.size(w) < n, F.array(m)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n))))))
+    join = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n))))
+    return let(F.split(normalize_for_match(c), " "), lambda w: F.when(F.size(w) < n, F.array(F.concat_ws(" ", w))).otherwise(F.array_distinct(join(w))))
 
 
 def word_ngrams(tokens: Column) -> Column:
     """Unigrams, then bigrams joined by a blank."""
-    return F.concat(tokens, F.transform(_windows(tokens, 2), lambda p: F.concat_ws(" ", p)))
+    return let(tokens, lambda t: F.concat(t, F.transform(_windows(t, 2), lambda p: F.concat_ws(" ", p))))
 
 
 def numbers(c) -> Column:

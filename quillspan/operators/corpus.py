@@ -29,10 +29,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, key: str = "doc_id") ->
 
     Prefix filter: with shingles in one global order, a pair at the threshold shares one of the first
     n - ceil(threshold * n) + 1 of each side; only those are joined, and only with sizes that can match."""
-    sets = docs.select(F.col(key).alias("id"), F.array_sort(F.transform(T.word_shingles("text"), lambda s: F.xxhash64(s))).alias("s"), F.xxhash64(T.normalize_for_match("text")).alias("form"))
-    sets = sets.withColumn("n", F.size("s")).filter("n > 0")
-    # Of equal sets one stands for all; the others are paired with it by the caller through ``form``.
-    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.expr(f"n - cast(ceil({threshold} * n) as int) + 1"))).alias("h"))
+    sets = docs.select(F.col(key).alias("id"), F.array_sort(F.transform(T.word_shingles("text"), lambda s: F.xxhash64(s))).alias("s"))
+    sets = sets.withColumn("n", F.size("s"))
+    prefix = sets.select("id", "n", F.explode_outer(F.slice("s", F.lit(1), F.expr(f"n - cast(ceil({threshold} * n) as int) + 1"))).alias("h"))
     x, y = prefix.alias("x"), prefix.alias("y")
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") * threshold <= F.col("y.n")) & (F.col("y.n") * threshold <= F.col("x.n")))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

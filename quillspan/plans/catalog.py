@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import corpus_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, corpus_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
