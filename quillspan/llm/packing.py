@@ -29,15 +29,16 @@ END = 1
 DIMS, AXES, BITS, SEED = 64, 3, 16, 20240607
 _BLOCK = 1 << 20
 #: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def hashed_vector(data: bytes) -> np.ndarray:
     """Signed counts of the 4-grams, of unit length; zero for fewer than four bytes."""
     v = np.zeros(DIMS)
     for at in range(0, max(len(data) - 3, 0), _BLOCK):
-        b = np.frombuffer(data[at : at + _BLOCK + 3], np.uint8).astype(np.uint32)
-        h = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(2654435761)
+        block = data[at : at + _BLOCK + 3]
+        # All 4-grams by four views of whole words, each begun one byte later.
+        h = np.concatenate([np.frombuffer(block, "<u4", (len(block) - k) // 4, k) for k in range(4)]) * np.uint32(2654435761)
         c = np.bincount(h >> np.uint32(25), minlength=2 * DIMS)
         v += c[:DIMS] - c[DIMS:]
     norm = np.sqrt(v @ v)
@@ -90,7 +91,7 @@ class Ids:
     into; any other text is cut only at blanks and line ends, which no token spans."""
 
     _plain = re.compile(r"[\n\r\t\x20-\x26\x28-\x7EÀ-ÖØ-öø-ÿ]*")
-    _pieces = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+    _pieces = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
     _blanks = re.compile(r"[^ \n]+")
 
     def __init__(self, path: str):
@@ -98,16 +99,36 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tok, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [(self._pieces if self._plain.fullmatch(t) and "<|" not in t else self._blanks).findall(t) for t in texts]
-        new = list({w for s in split for w in s} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list({w for s in split for w in s})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of plain words, many in one call: each ends with the one id that marks a word's end."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.known.update(zip(part, (raw[x:y] for x, y in zip(cut, cut[1:]))))
+            else:
+                self._learn_apart(part)
+
+    def _learn_apart(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [bool(self._plain.fullmatch(t)) and "<|" not in t for t in texts]
+        # Lower case here merges words; the tokenizer does the same to each letter of a plain text.
+        split = [self._pieces.findall(t.lower()) if p else self._blanks.findall(t) for p, t in zip(plain, texts)]
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        for learn, kind in ((self._learn, True), (self._learn_apart, False)):
+            learn(list({w for p, s in zip(plain, split) if p is kind for w in s} - self.known.keys()))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, s)) + np.array([END], "<u4").tobytes(), "<u4") for s in split]
 
