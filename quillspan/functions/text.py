@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # What a token is, what ends a sentence, and the character maps of normalisation.
@@ -35,8 +36,6 @@ def nfc_bengali(c) -> Column:
 
 def nfc(c) -> Column:
     """General NFC, for which Spark has no function: Arrow batches through unicodedata."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         import unicodedata

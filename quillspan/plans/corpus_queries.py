@@ -146,9 +146,9 @@ def nested_index(spark, sf):
     return C.nested_index(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id").distinct(), (50, 100, 150))
 
 
-@query("WITH d AS (SELECT DISTINCT source AS s, md5(left(text, 200)) AS p FROM documents) SELECT a.s AS split_a, b.s AS split_b, count(*) AS n FROM d a JOIN d b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2")
+@query("WITH d AS (SELECT DISTINCT source AS s, md5(text) AS p FROM documents) SELECT a.s AS split_a, b.s AS split_b, count(*) AS n FROM d a JOIN d b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2")
 def split_leakage(spark, sf):
-    return C.leakage(table(spark, sf, "documents").withColumn("p", F.md5(F.left("text", F.lit(200)))), "source", "p")
+    return C.leakage(table(spark, sf, "documents").withColumn("p", F.md5("text")), "source", "p")
 
 
 @query("SELECT doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
