@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,13 +42,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a frame from written() that nothing reads any more."""
-    gone = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
-    for own in list(_OWN):
-        if own[1].split(":", 1)[-1].lstrip("/") in gone:
-            _OWN.remove(own)
-            _delete(*own)
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -13,8 +13,8 @@ A byte goes if a string of SPAN bytes that covers it also starts earlier in the
 3. Suffixes that share a prefix of SPAN bytes are adjacent in that order; all but the first in corpus
    order start a removed window.
 
-No group is collected: names are ranks of distinct triples after a range sort, minima are combined
-before each shuffle, and joins on hot keys can be split.
+No group is collected: names are ranks of distinct triples after a range sort, minima of suffixes are
+combined before the shuffle, and joins on hot keys can be split.
 
 Cases: a null or short text loses nothing; earlier means (doc_id, null first; then the text's hash;
 then start); rows that repeat both doc_id and text are one document and get the same result; an
@@ -23,14 +23,13 @@ empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import drop, written
+from .store import release, written
 
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
@@ -169,19 +168,20 @@ def _merged(batches):
 
 def repeated(docs: DataFrame) -> DataFrame:
     """d, th, start, end: spans to remove (they may overlap); docs: as _keyed gives."""
-    every = written(docs.filter(F.length("data") >= SPAN).mapInPandas(_all_runs, "anchor long, text long, d long, th long, start long, windows long"))
-    often = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("text") != F.max("text")).alias("open")).filter("n > 1").drop("n")
-    some = written(every.join(often, "anchor"))
-    drop(every)
+    every = docs.filter(F.length("data") >= SPAN).mapInPandas(_all_runs, "anchor long, text long, d long, th long, start long, windows long")
     place = F.struct("d", "th", "start")
-    firsts = some.groupBy("anchor", "text").agg(F.min(place).alias("first"))
-    marked = written(some.join(firsts, ["anchor", "text"]).select("d", "th", "start", "windows", "open", (place == F.col("first")).alias("is_first")))
-    drop(some)
+    # One shuffle: an anchor has at most one row for each run that it anchors, and the window spills.
+    alike, same_text = Window.partitionBy("anchor"), Window.partitionBy("anchor", "text")
+    every = every.repartition("anchor").select("*", F.count("*").over(alike).alias("n"), (F.min("text").over(alike) != F.max("text").over(alike)).alias("open"), F.min(place).over(same_text).alias("first"))
+    marked = written(every.filter("n > 1").select("d", "th", "start", "windows", "open", (place == F.col("first")).alias("is_first")).filter("open or not is_first"))
+    del every
+    release(docs.sparkSession)
     whole = marked.filter("not is_first").select("d", "th", "start", (F.col("start") + F.col("windows") + SPAN - 1).alias("end"))
 
     lists = marked.filter("is_first and open").groupBy("d", "th").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     opened = docs.join(lists, ["d", "th"]).mapInPandas(_open_texts, "d long, th long, start long, data binary")
     opened = written(opened.dropDuplicates(["d", "th", "start"]).withColumn("run", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     level = opened.select("run", "data").mapInPandas(_first_triples, "run long, at long, a long, b long, c long")
     for step in (9, 27, None):
         named = _named(level, ["a", "b", "c"]).groupBy("run").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("names"))
@@ -189,11 +189,14 @@ def repeated(docs: DataFrame) -> DataFrame:
         if step:
             level = named.mapInPandas(_triples(step), "run long, at long, a long, b long, c long")
     keys = written(opened.join(named, "run").select("d", "th", "start", "data", "at", "names").mapInPandas(_merged, "d long, th long, at long, way int, m long, n long, more long"))
+    release(docs.sparkSession)
     here = F.struct("d", "th", "at")
     same = ["way", "m", "n", "more"]
     least = keys.groupBy(*same).agg(F.min(here).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
     later = keys.join(least, same).filter(here != F.col("first")).select("d", "th", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end")).distinct()
-    return reduce(DataFrame.unionByName, (whole, later))
+    later = written(later)
+    release(docs.sparkSession)
+    return whole.unionByName(later)
 
 
 def remove_repeated(documents: DataFrame) -> DataFrame:
