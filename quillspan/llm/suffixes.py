@@ -6,8 +6,9 @@ A byte goes if a string of SPAN bytes that covers it also starts earlier in the
    strings (leftmost of equals); windows that follow one another with one anchor are a run. Equal
    windows have equal anchors, so anchors that occur once need no more work; of runs with the same
    bytes, all but the first are removed whole; and where an anchor has one run text only, its first
-   run has nothing earlier. What is left, the open runs, lies about the ends of repeated passages.
-2. The suffixes of the open runs are ordered as far as SPAN bytes with the difference cover {1, 2}
+   run has nothing earlier. What is left, the open runs, lies about the ends of repeated passages;
+   of their windows only those whose hash occurs twice can be equal to another.
+2. The suffixes of those windows are ordered as far as SPAN bytes with the difference cover {1, 2}
    mod 3: triples of the sampled suffixes are sorted and named by rank, names are again tripled
    (9, 27, 81 bytes), and the remaining suffixes are merged by one or two bytes before a sampled one.
 3. Suffixes that share a prefix of SPAN bytes are adjacent in that order; all but the first in corpus
@@ -115,6 +116,29 @@ def _open_texts(batches):
         yield pd.DataFrame(rows, columns=["d", "th", "start", "data"])
 
 
+def _window_hashes(batches):
+    for b in batches:
+        for lo in range(0, len(b), 2000):
+            part, rows = b.iloc[lo : lo + 2000], []
+            for r, data in zip(part["run"], part["data"]):
+                x = np.frombuffer(bytes(data), np.uint8)
+                h = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * _POW[: len(x)], dtype=np.uint64)])
+                rows.append((np.full(len(x) - SPAN + 1, r), _mix((h[SPAN:] - h[:-SPAN]) * _BACK[: len(x) - SPAN + 1]).astype(np.int64)))
+            if rows:
+                yield pd.DataFrame({"run": np.concatenate([r for r, _ in rows]), "at": np.concatenate([np.arange(len(h)) for _, h in rows]), "h": np.concatenate([h for _, h in rows])})
+
+
+def _narrowed(batches):
+    """Of each run the stretches of consecutive windows that are left, with their bytes."""
+    for b in batches:
+        rows = []
+        for d, th, start, data, at in zip(b["d"], b["th"], b["start"], b["data"], b["at"]):
+            data, at = bytes(data), np.sort(np.asarray(at, np.int64))
+            for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                rows.append((d, th, start + int(part[0]), data[int(part[0]) : int(part[-1]) + SPAN]))
+        yield pd.DataFrame(rows, columns=["d", "th", "start", "data"])
+
+
 def _named(df: DataFrame, cols: list[str]) -> DataFrame:
     """df with ``name``, the rank of its tuple among all distinct ones (with gaps), for cols."""
     ranks = written(df.select(*cols).distinct().repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id()))
@@ -182,6 +206,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     opened = docs.join(lists, ["d", "th"]).mapInPandas(_open_texts, "d long, th long, start long, data binary")
     opened = written(opened.dropDuplicates(["d", "th", "start"]).withColumn("run", F.monotonically_increasing_id()))
     release(docs.sparkSession)
+    hashes = opened.select("run", "data").mapInPandas(_window_hashes, "run long, at long, h long")
+    twice = hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    kept = hashes.join(twice, "h").groupBy("run").agg(F.collect_list("at").alias("at"))
+    opened = written(opened.join(kept, "run").mapInPandas(_narrowed, "d long, th long, start long, data binary").withColumn("run", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
     level = opened.select("run", "data").mapInPandas(_first_triples, "run long, at long, a long, b long, c long")
     for step in (9, 27, None):
         named = _named(level, ["a", "b", "c"]).groupBy("run").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("names"))
