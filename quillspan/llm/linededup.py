@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line is parsed by its token count and its LEAD leading tokens (tokens with a digit are variable:
-<*>) to a leaf. Within a leaf whose lines differ, a position is constant if one token has at least
-half of the leaf's documents; a leaf with SIMILAR or more of constant positions has a template, and
-the lines that agree with it in all constant positions belong to it. Other lines are templates of
+<*>) to a leaf. A line's tokens are cut into at most SEGMENTS equal stretches, its positions. Within a
+leaf whose lines differ, a position is constant if at least half of the leaf's lines have one content
+there; a leaf with SIMILAR or more of constant positions has a template, and the lines that agree with
+it in all constant positions belong to it. Other lines are templates of
 their own. A template in MIN_DOCS or more documents recurs; its lines are dropped, save the first
 (least doc_id, then least line), so that no content is lost from the corpus.
 
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import written
+from .store import release, written
 
 LEAD = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
 SIMILAR = 0.6
+SEGMENTS = 8
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -36,34 +38,39 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"mh": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", LEAD))})
+    """mh (the whole line), leaf, and seg: a hash of each of at most SEGMENTS equal stretches of its tokens."""
+    rows = lines.withColumns({"mh": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", LEAD)), "_w": F.split("masked", " ")})
+    m = f"least({SEGMENTS}, n)"
+    return rows.withColumn("seg", F.expr(f"transform(sequence(0, {m} - 1), k -> hash(slice(_w, k * n div {m} + 1, (k + 1) * n div {m} - k * n div {m})))")).drop("_w")
 
 
-def _templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
+def _templates(lines: DataFrame) -> DataFrame:
     """leaf, mh, template: the lines that belong to a template of more than one text."""
-    texts = lines.groupBy("leaf", "mh").agg(F.count("*").alias("rows"))
-    varied = texts.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows")).filter((F.col("texts") > 1) & (F.col("rows") >= MIN_DOCS)).select("leaf", F.col("rows").alias("leaf_rows"))
-    known = texts.join(varied, "leaf")
-    words = _hashed(_lines(documents)).select("leaf", "mh", "masked").join(varied.select("leaf"), "leaf", "left_semi").dropDuplicates(["leaf", "mh"])
-    tokens = words.join(known, ["leaf", "mh"]).select("leaf", "mh", "rows", "leaf_rows", F.posexplode_outer(F.split("masked", " ")).alias("at", "token"))
+    texts = lines.groupBy("leaf", "mh").agg(F.count("*").alias("rows"), F.first("seg").alias("seg"))
+    varied = texts.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("leaf_rows")).filter((F.col("texts") > 1) & (F.col("leaf_rows") >= MIN_DOCS)).select("leaf", "leaf_rows")
+    parts = written(texts.join(varied, "leaf").select("leaf", "mh", "rows", "leaf_rows", F.posexplode_outer("seg").alias("at", "token")))
     constant = (
-        tokens.groupBy("leaf", "at", "token").agg(F.sum("rows").alias("n"), F.first("leaf_rows").alias("leaf_rows"))
+        parts.groupBy("leaf", "at", "token").agg(F.sum("rows").alias("n"), F.first("leaf_rows").alias("leaf_rows"))
         .groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.first("leaf_rows").alias("leaf_rows"))
         .select("leaf", "at", "top.token", (2 * F.col("top.n") >= F.col("leaf_rows")).alias("fixed"))
     )
     shape = constant.groupBy("leaf").agg(F.count("*").alias("width"), F.count_if("fixed").alias("fixed")).filter(F.col("fixed") >= SIMILAR * F.col("width"))
-    agree = tokens.join(constant.filter("fixed").select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "mh").agg(F.count("*").alias("fixed"))
+    agree = parts.join(constant.filter("fixed").select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "mh").agg(F.count("*").alias("fixed"))
     return agree.join(shape, ["leaf", "fixed"]).select("leaf", "mh", F.xxhash64(F.lit("template"), "leaf").alias("template"))
 
 
 def recurring_lines(documents: DataFrame) -> DataFrame:
     """doc_id, th, drop: the numbers of the lines to drop in each document that has any."""
-    lines = written(_hashed(_lines(documents)).select("doc_id", "th", "line", "mh", "leaf"))
-    keyed = lines.join(_templates(documents, lines), ["leaf", "mh"], "left").select("doc_id", "th", "line", F.coalesce("template", "mh").alias("template"))
+    lines = written(_hashed(_lines(documents)).select("doc_id", "th", "line", "mh", "leaf", "seg"))
+    found = written(_templates(lines))
+    release(documents.sparkSession)
+    keyed = lines.join(found, ["leaf", "mh"], "left").select("doc_id", "th", "line", F.coalesce("template", "mh").alias("template"))
     docs = keyed.groupBy("template", "doc_id", "th").agg(F.min("line").alias("line"))
     rec = docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("first")).filter(F.col("docs") >= MIN_DOCS)
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))
-    return keyed.join(rec, "template").filter(~first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop"))
+    out = written(keyed.join(rec, "template").filter(~first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    release(documents.sparkSession)
+    return out
 
 
 def drop_recurring(documents: DataFrame) -> DataFrame:
