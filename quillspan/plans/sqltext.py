@@ -27,4 +27,4 @@ def tokens_lower(c: str) -> str:
 
 def shingles(c: str, n: int = 3) -> str:
     """List of distinct n-word strings of column m (the matching form)."""
-    return f"CASE WHEN len(string_split({c}, ' ')) < {n} THEN [{c}] ELSE list_distinct(list_transform(range(1, CAST(len(string_split({c}, ' ')) - {n - 2} AS BIGINT)), lambda i: array_to_string(string_split({c}, ' ')[i:i+{n - 1}], ' '))) END"
+    return f"list_transform([string_split({c}, ' ')], lambda w: CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, CAST(len(w) - {n - 2} AS BIGINT)), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) END)[1]"
