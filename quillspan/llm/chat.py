@@ -9,7 +9,7 @@ token (all tokens of its ancestors come before it) and the intervals of the stre
 attend to: its ancestors' and its own.
 
 Turns are streamed in order through each task, so a conversation of any length needs no more memory
-than its hashers; a path holds eight bytes a turn. A shared node is one row however many share it.
+than its hashers; a path holds sixteen bytes a turn. A shared node is one row however many share it.
 
 Cases: null texts and roles are empty ones; turns with one number are ordered by role, then text, a
 repeated row is a further turn; a null turn number comes first, a null conv_id is a conversation; an
