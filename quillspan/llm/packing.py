@@ -84,6 +84,29 @@ def curve_keys(texts) -> np.ndarray:
     return hilbert_key(np.clip((v + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
 
 
+_DIGIT = 2
+#: Of each Latin-1 character: 0 for a blank, 1 for a letter, _DIGIT, or 3 for another sign.
+_KIND = np.array([1 if chr(c).isalpha() else _DIGIT if chr(c) in "0123456789" else 3 if c > 32 else 0 for c in range(256)], np.int8)
+_SIGN = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1) modulo 2**64, remembered."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, _BLOCK), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of size numbers, for each pair in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Ids:
     """Ids of texts, by way of their words: the tokenizer splits at white space and between
     letters and other signs, so the ids of a text are those of its pieces, which recur.
@@ -91,7 +114,7 @@ class Ids:
     into; any other text is cut only at blanks and line ends, which no token spans."""
 
     _plain = re.compile(r"[\n\r\t\x20-\x26\x28-\x7EÀ-ÖØ-öø-ÿ]*")
-    _pieces = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+    _long = re.compile(r"(?s).{1,1048576}[^ \n\r\t]*")
     _blanks = re.compile(r"[^ \n]+")
 
     def __init__(self, path: str):
@@ -121,16 +144,63 @@ class Ids:
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(self._plain.fullmatch(t)) and "<|" not in t for t in texts]
-        # Lower case here merges words; the tokenizer does the same to each letter of a plain text.
-        split = [self._pieces.findall(t.lower()) if p else self._blanks.findall(t) for p, t in zip(plain, texts)]
+    def _recall(self, words: list[str], learn) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        for learn, kind in ((self._learn, True), (self._learn_apart, False)):
-            learn(list({w for p, s in zip(plain, split) if p is kind for w in s} - self.known.keys()))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)) + np.array([END], "<u4").tobytes(), "<u4") for s in split]
+        learn([w for w in words if w not in self.known])
+        return [self.known[w] for w in words]
+
+    def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Of texts in lower case: words are found by their bytes' kinds, made distinct by a hash
+        that is then checked byte by byte, and only distinct words are looked up."""
+        raw = np.frombuffer("\n".join(texts).encode("latin-1") + b"\n", np.uint8)
+        kind = _KIND[raw]
+        new = kind > 0
+        new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        start = np.flatnonzero(new)
+        end = np.flatnonzero((kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[:-1] == _DIGIT))) + 1
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_SIGN[raw] * _powers(_ODD, len(raw)), out=sums[1:])
+        hashed = (sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start]
+        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        size = end - start
+        if (size != size[first][which]).any() or (raw[_spread(start, size)] != raw[_spread(start[first][which], size)]).any():
+            which = first = np.arange(len(start))  # two words share a hash: look up every word
+        data = raw.tobytes().decode("latin-1")
+        found = self._recall([data[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())], lambda w: self._learn(list(dict.fromkeys(w))))
+        count = np.array([len(f) // 4 for f in found], np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")[_spread((np.cumsum(count) - count)[which], count[which])]
+        text_end = np.cumsum([len(t) + 1 for t in texts])
+        cut = np.concatenate([[0], np.cumsum(count[which])])[np.searchsorted(start, text_end)]
+        return np.split(ids, cut[:-1])
+
+    def _stretch(self, text: str) -> list[np.ndarray]:
+        """Of one text, in stretches cut at white space, which no token spans."""
+        if not self._plain.fullmatch(text) or "<|" in text:
+            words = self._blanks.findall(text)
+            here = list(dict.fromkeys(words))
+            ids = dict(zip(here, self._recall(here, self._learn_apart)))
+            return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4")]
+        return [x for part in self._long.findall(text.lower()) for x in self._plain_ids([part])]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        # Lower case here merges words; the tokenizer does the same to each letter of a plain text.
+        out, group, size = [None] * len(texts), [], 0
+        for i, t in enumerate(texts):
+            if len(t) > _BLOCK or not self._plain.fullmatch(t) or "<|" in t:
+                out[i] = np.concatenate([np.zeros(0, "<u4"), *self._stretch(t)])
+                continue
+            group, size = [*group, i], size + len(t)
+            if size > _BLOCK:
+                self._fill(out, group, texts)
+                group, size = [], 0
+        self._fill(out, group, texts)
+        return [np.append(x, np.uint32(END)) for x in out]
+
+    def _fill(self, out: list, group: list[int], texts: list[str]) -> None:
+        if group:
+            for i, ids in zip(group, self._plain_ids([texts[i].lower() for i in group])):
+                out[i] = ids
 
 
 _IDS: dict[str, Ids] = {}
@@ -158,8 +228,8 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
 
         sequence, at = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part, rows = batch.iloc[lo : lo + 64], []
+            for lo in range(0, len(batch), 1024):
+                part, rows = batch.iloc[lo : lo + 1024], []
                 for doc, ids in zip(part["doc_id"], ids_of(tokenizer)(part["text"].tolist())):
                     start = 0
                     while start < len(ids):
