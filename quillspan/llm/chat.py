@@ -106,10 +106,13 @@ def tree(turned: DataFrame, tokenizer: str) -> DataFrame:
     return nodes.repartitionByRange("path").sortWithinPartitions("path").mapInPandas(emitted, "ids binary, loss_start int, loss_end int, chars long, stretch int, start long, end long, node binary, path binary, depth int, role string")
 
 
-def attending(nodes: DataFrame) -> DataFrame:
-    """node, position (id of its first token), attends: array of struct(depth, stretch, start, end), root first."""
+def attending(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """node, position (id of its first token), attends: array of struct(depth, stretch, start, end), root first.
+
+    Of all nodes, or of those that asked names; a node's list is as long as its depth."""
+    those = nodes if asked is None else nodes.join(asked.select("node").distinct(), "node", "left_semi")
     step = F.posexplode_outer(F.expr("transform(sequence(0, depth), i -> substring(path, 16 * i + 1, 16))")).alias("d", "up")
-    ups = nodes.select("node", step).join(nodes.select(F.col("node").alias("up"), "stretch", "start", "end"), "up")
+    ups = those.select("node", step).join(nodes.select(F.col("node").alias("up"), "stretch", "start", "end"), "up")
     got = ups.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("d", "stretch", "start", "end"))).alias("attends"))
     before = F.aggregate("attends", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     last = F.element_at("attends", -1)
@@ -119,7 +122,7 @@ def attending(nodes: DataFrame) -> DataFrame:
 def read_back(turned: DataFrame, nodes: DataFrame, tokenizer: str) -> DataFrame:
     """A row for each conversation, read from the tokens that its last node attends to."""
     leaves = turned.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
-    spans = leaves.join(attending(nodes), "node").select("conv_id", F.explode_outer("attends").alias("a")).select("conv_id", "a.*")
+    spans = leaves.join(attending(nodes, leaves), "node").select("conv_id", F.explode_outer("attends").alias("a")).select("conv_id", "a.*")
     tokens = spans.join(nodes.select("stretch", "start", "ids", "role", "loss_start", "loss_end"), ["stretch", "start"])
     path = tokenizer
 
