@@ -31,17 +31,20 @@ SEGMENTS = 8
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc_id, th, line (number), masked: lines of MIN_TOKENS tokens or more, variable tokens masked."""
-    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line", "t")).filter("t is not null")
-    clean = F.trim(F.when(F.col("t").rlike(r"[\t\r\f]|  "), F.regexp_replace("t", r"[ \t\r\f]+", " ")).otherwise(F.col("t")))
-    rows = rows.withColumn("t", clean)
-    return rows.withColumn("masked", F.when(F.col("t").rlike("[0-9]"), F.regexp_replace("t", r"(?<![^ ])[^ 0-9]*[0-9][^ ]*", "<*>")).otherwise(F.col("t"))).withColumn("n", F.length("t") - F.length(F.replace(F.col("t"), F.lit(" "))) + 1).filter(F.col("n") >= MIN_TOKENS).drop("t")
+    # Cleaned and masked once a text, before it is cut into lines: no filter then repeats that work.
+    clean = F.when(F.col("text").rlike(r"[\t\r\f]|  "), F.regexp_replace("text", r"[ \t\r\f]+", " ")).otherwise(F.col("text"))
+    masked = F.regexp_replace(clean, r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+", "<*>")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split(masked, "\n")).alias("line", "masked")).filter("masked is not null")
+    rows = rows.withColumn("masked", F.trim("masked"))
+    return rows.withColumn("n", F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "))) + 1).filter(F.col("n") >= MIN_TOKENS)
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """mh (the whole line), leaf, and seg: a hash of each of at most SEGMENTS equal stretches of its tokens."""
-    rows = lines.withColumns({"mh": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", LEAD)), "_w": F.split("masked", " ")})
+    rows = lines.withColumns({"mh": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", LEAD))})
     m = f"least({SEGMENTS}, n)"
-    return rows.withColumn("seg", F.expr(f"transform(sequence(0, {m} - 1), k -> hash(slice(_w, k * n div {m} + 1, (k + 1) * n div {m} - k * n div {m})))")).drop("_w")
+    # The split is bound by an outer lambda, or else it would be made anew for each stretch.
+    return rows.withColumn("seg", F.expr(f"transform(array(split(masked, ' ')), w -> transform(sequence(0, {m} - 1), k -> hash(slice(w, k * n div {m} + 1, (k + 1) * n div {m} - k * n div {m}))))[0]"))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
@@ -75,7 +78,8 @@ def recurring_lines(documents: DataFrame) -> DataFrame:
 
 def drop_recurring(documents: DataFrame) -> DataFrame:
     """documents with the recurring lines out of their texts; n_lines and n_dropped added."""
-    drop = recurring_lines(documents).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "drop")
+    # A merge join at every size: the list of lines to drop grows with the corpus.
+    drop = recurring_lines(documents).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "drop").hint("merge")
     out = documents.withColumn("_h", F.xxhash64("text")).join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
