@@ -8,7 +8,8 @@ it in all constant positions belong to it. Other lines are templates of
 their own. A template in MIN_DOCS or more documents recurs; its lines are dropped, save the first
 (least doc_id, then least line), so that no content is lost from the corpus.
 
-Lines of fewer than MIN_TOKENS tokens are kept: they recur by chance. Only hashes and counts are
+Lines of fewer than LEAD + 1 tokens are counted by their exact masked text. Lines of fewer than
+MIN_TOKENS tokens are kept: masked, one token makes all numbers one line. Only hashes and counts are
 shuffled; texts are read again and filtered by line number.
 
 Cases: a null text stays null, an empty one empty; repeated rows with one doc_id and text are one
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .store import release, written
 
 LEAD = 3
-MIN_TOKENS = 4
+MIN_TOKENS = 2
 MIN_DOCS = 3
 SIMILAR = 0.6
 SEGMENTS = 8

@@ -79,6 +79,12 @@ def test_line_dedup(spark):
     assert linededup.drop_recurring(frame(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(i, f"{w} has its own line\nAll rights reserved.\nAnd ornd.\nonly {w}") for i, w in enumerate(("ant", "bee", "cat"))]
+    got = {r.doc_id: r.text.split("\n") for r in linededup.drop_recurring(frame(spark, rows)).collect()}
+    assert got == {0: rows[0][1].split("\n"), 1: ["bee has its own line", "only bee"], 2: ["cat has its own line", "only cat"]}
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(i, ("good clean words of prose " * 9) if i % 2 else ("BUY!!! NOW*** $$$ " * 9)) for i in range(200)] + [(900, None), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (900, 1), (5, None)], "doc_id long, quality int")
