@@ -1,12 +1,14 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line is parsed by its token count and its LEAD leading tokens (tokens with a digit are variable:
-<*>) to a leaf. A line's tokens are cut into at most SEGMENTS equal stretches, its positions. Within a
-leaf whose lines differ, a position is constant if at least half of the leaf's lines have one content
-there; a leaf with SIMILAR or more of constant positions has a template, and the lines that agree with
-it in all constant positions belong to it. Other lines are templates of
-their own. A template in MIN_DOCS or more documents recurs; its lines are dropped, save the first
-(least doc_id, then least line), so that no content is lost from the corpus.
+<*>) to a leaf. A leaf holds several templates. Two distinct texts of a leaf are similar if they have one
+token in a share of SIMILAR or more of the positions beyond the leading ones; how often a text recurs
+counts for nothing. In turns, each key that several texts share (_keys) is led by one of them; a text
+that is similar to leads belongs to the template of the most similar. Turns end when two of them find
+nothing more. Up to SHORT positions all texts of a key are similar; of longer lines, a text is compared
+with one lead a key and turn, so one that shares its keys with many unlike texts can stay alone. Other
+lines are templates of their own. A template in MIN_DOCS or more documents recurs; its lines are
+dropped, save the first (least doc_id, then least line), so that no content is lost from the corpus.
 
 Lines of fewer than LEAD + 1 tokens are counted by their exact masked text. Lines of fewer than
 MIN_TOKENS tokens are kept: masked, one token makes all numbers one line. Only hashes and counts are
@@ -19,7 +21,10 @@ is dropped; an empty table gives none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import release, written
 
@@ -27,7 +32,7 @@ LEAD = 3
 MIN_TOKENS = 2
 MIN_DOCS = 3
 SIMILAR = 0.6
-SEGMENTS = 8
+SHORT = 7
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -41,34 +46,64 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """mh (the whole line), leaf, and seg: a hash of each of at most SEGMENTS equal stretches of its tokens."""
+    """mh (the whole line), leaf, and toks: a hash of each token beyond the LEAD leading ones, null for lines that have too few of them to differ."""
     rows = lines.withColumns({"mh": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", LEAD))})
-    m = f"least({SEGMENTS}, n)"
-    # The split is bound by an outer lambda, or else it would be made anew for each stretch.
-    return rows.withColumn("seg", F.expr(f"transform(array(split(masked, ' ')), w -> transform(sequence(0, {m} - 1), k -> hash(slice(w, k * n div {m} + 1, (k + 1) * n div {m} - k * n div {m}))))[0]"))
+    toks = F.expr(f"transform(slice(split(masked, ' '), {LEAD + 1}, n - {LEAD}), w -> hash(w))")
+    return rows.withColumn("toks", F.when(_asked(F.col("n") - LEAD) < F.col("n") - LEAD, toks))
+
+
+def _asked(m: Column) -> Column:
+    """The least number of m positions that is a share of SIMILAR."""
+    return F.ceil(m * SIMILAR - 1e-9).cast("int")
+
+
+def _keys(m: Column) -> Column:
+    """What similar texts share: each choice of as many positions as are asked, or, of more than SHORT positions, stretches one more than may differ."""
+    sets = F.array(*[F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(k), math.ceil(k * SIMILAR - 1e-9))]) for k in range(3, SHORT + 1)])
+    chosen = F.transform(F.element_at(sets, m - 2), lambda c: F.xxhash64("leaf", c, F.transform(c, lambda i: F.get("toks", i))))
+
+    def stretches(d: Column) -> Column:
+        at = lambda k: F.floor(k * m / (d + 1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), d), lambda k: F.xxhash64("leaf", k, F.slice("toks", at(k) + 1, at(k + 1) - at(k))))
+
+    return F.when(m <= SHORT, chosen).otherwise(stretches(m - _asked(m)))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """leaf, mh, template: the lines that belong to a template of more than one text."""
-    texts = lines.groupBy("leaf", "mh").agg(F.count("*").alias("rows"), F.first("seg").alias("seg"))
-    varied = texts.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("leaf_rows")).filter((F.col("texts") > 1) & (F.col("leaf_rows") >= MIN_DOCS)).select("leaf", "leaf_rows")
-    parts = written(texts.join(varied, "leaf").select("leaf", "mh", "rows", "leaf_rows", F.posexplode_outer("seg").alias("at", "token")))
-    constant = (
-        parts.groupBy("leaf", "at", "token").agg(F.sum("rows").alias("n"), F.first("leaf_rows").alias("leaf_rows"))
-        .groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.first("leaf_rows").alias("leaf_rows"))
-        .select("leaf", "at", "top.token", (2 * F.col("top.n") >= F.col("leaf_rows")).alias("fixed"))
-    )
-    shape = constant.groupBy("leaf").agg(F.count("*").alias("width"), F.count_if("fixed").alias("fixed")).filter(F.col("fixed") >= SIMILAR * F.col("width"))
-    agree = parts.join(constant.filter("fixed").select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("leaf", "mh").agg(F.count("*").alias("fixed"))
-    return agree.join(shape, ["leaf", "fixed"]).select("leaf", "mh", F.xxhash64(F.lit("template"), "leaf").alias("template"))
+    """mh, template: the lines that belong to a template of more than one text."""
+    texts = lines.filter("toks is not null").groupBy("leaf", "mh").agg(F.count("*").alias("rows"), F.first("toks").alias("toks"))
+    varied = texts.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("leaf_rows")).filter((F.col("texts") > 1) & (F.col("leaf_rows") >= MIN_DOCS)).select("leaf")
+    texts = written(texts.join(varied, "leaf").select("leaf", "mh", "toks", F.lit(False).alias("is_lead")))
+    found, turn, quiet = texts.select("mh", F.col("mh").alias("template")).limit(0), 0, 0
+    while quiet < 2:
+        # Leads come first in every other turn; else the order is the turn's own, so that no text stands before others for good.
+        order = F.xxhash64("mh", F.lit(turn)).bitwiseAND(F.lit((1 << 62) - 1))
+        order = order if turn % 2 else F.when(F.col("is_lead"), -1 - order).otherwise(order)
+        keys = written(texts.select("mh", "is_lead", order.alias("order"), F.explode(_keys(F.size("toks"))).alias("key")))
+        heads = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("mh", "order").alias("lead")).filter("n > 1").select("key", "lead")
+        pairs = written(keys.join(heads, "key").groupBy("mh", "lead").agg(F.max("is_lead").alias("is_lead")))
+        a, b = texts.select("mh", "toks"), texts.select(F.col("mh").alias("lead"), F.col("toks").alias("lead_toks"))
+        alike = F.aggregate(F.zip_with("toks", "lead_toks", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        links = written(pairs.filter("mh <> lead and not is_lead").join(a, "mh").join(b, "lead").withColumn("alike", alike).filter(F.col("alike") >= _asked(F.size("toks"))).select("mh", "lead", "alike"))
+        # A text that follows another leads none in this turn: its followers look again in the next.
+        own = links.join(links.select(F.col("mh").alias("lead")).distinct(), "lead", "left_anti")
+        new = written(own.groupBy("mh").agg(F.max(F.struct("alike", "lead")).alias("x")).select("mh", F.col("x.lead").alias("template")))
+        quiet, turn = quiet + 1 if new.isEmpty() else 0, turn + 1
+        found = found.unionByName(new)
+        leads = new.select(F.col("template").alias("mh"), F.lit(True).alias("now")).distinct()
+        # A text that shares no key with another can follow none in a later turn.
+        left = pairs.select("mh").distinct().join(new, "mh", "left_anti").join(leads, "mh", "left")
+        texts = written(texts.join(left, "mh").select("leaf", "mh", "toks", (F.col("is_lead") | F.coalesce("now", F.lit(False))).alias("is_lead")))
+        release(lines.sparkSession)
+    return found.unionByName(found.select("template", "template").distinct().toDF("mh", "template"))
 
 
 def recurring_lines(documents: DataFrame) -> DataFrame:
     """doc_id, th, drop: the numbers of the lines to drop in each document that has any."""
-    lines = written(_hashed(_lines(documents)).select("doc_id", "th", "line", "mh", "leaf", "seg"))
+    lines = written(_hashed(_lines(documents)).select("doc_id", "th", "line", "mh", "leaf", "toks"))
     found = written(_templates(lines))
     release(documents.sparkSession)
-    keyed = lines.join(found, ["leaf", "mh"], "left").select("doc_id", "th", "line", F.coalesce("template", "mh").alias("template"))
+    keyed = lines.join(found, "mh", "left").select("doc_id", "th", "line", F.coalesce("template", "mh").alias("template"))
     docs = keyed.groupBy("template", "doc_id", "th").agg(F.min("line").alias("line"))
     rec = docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("first")).filter(F.col("docs") >= MIN_DOCS)
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))

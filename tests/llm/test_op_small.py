@@ -85,6 +85,22 @@ def test_line_dedup_short_lines(spark):
     assert got == {0: rows[0][1].split("\n"), 1: ["bee has its own line", "only bee"], 2: ["cat has its own line", "only cat"]}
 
 
+def kept(spark, texts):
+    """The one-line documents that keep their line, by number."""
+    return {r.doc_id for r in linededup.drop_recurring(frame(spark, list(enumerate(texts)))).collect() if r.text}
+
+
+NAMES = ("ant", "bee", "cat", "dog", "elk", "fox")
+
+
+def test_line_dedup_templates_of_one_leaf(spark):
+    hot = ["the post was sent by ant at noon to us all"] * 8 + [f"the post was sent by {w} at noon to us all" for w in NAMES[1:]]
+    assert kept(spark, hot) == {0}
+    more = [f"see the page about {t}" for w in NAMES for t in (f"old {w} houses in the north", f"old maps of {w} and trade", f"{w} rivers that run far south")]
+    assert len(kept(spark, more)) == 3
+    assert len(kept(spark, [f"log of the {w} {t}" for w in NAMES for t in ("run today", "day off")])) == 2
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(i, ("good clean words of prose " * 9) if i % 2 else ("BUY!!! NOW*** $$$ " * 9)) for i in range(200)] + [(900, None), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (900, 1), (5, None)], "doc_id long, quality int")
