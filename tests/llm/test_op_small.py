@@ -101,6 +101,14 @@ def test_line_dedup_templates_of_one_leaf(spark):
     assert len(kept(spark, [f"log of the {w} {t}" for w in NAMES for t in ("run today", "day off")])) == 2
 
 
+def test_line_dedup_counts_tokens_beyond_the_leading(spark):
+    words = [f"word{chr(97 + k)}" for k in range(24)]
+    long = [" ".join(f"own{w}{NAMES[(k * i) % 6]}" if i in (4, 10, 16, 22) else x for i, x in enumerate(words)) for k, w in enumerate(NAMES)]
+    assert kept(spark, long) == {0}
+    apart = ["it was the ant", "it was the bee", "it was the cat", "we saw a big ant", "we saw a tall bee", "we saw a small cat"]
+    assert kept(spark, apart) == set(range(6))
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(i, ("good clean words of prose " * 9) if i % 2 else ("BUY!!! NOW*** $$$ " * 9)) for i in range(200)] + [(900, None), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (900, 1), (5, None)], "doc_id long, quality int")
