@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 10
@@ -60,22 +62,39 @@ def risk_coverage(scored: DataFrame, p: str = "p", y: str = "y", key: str = "doc
     return r.withColumn("err", F.sum(1 - F.col(y)).over(by_part)).join(F.broadcast(total)).select("k", (F.col("k") / F.col("_n")).alias("coverage"), (F.col("err") / F.col("k")).alias("risk"))
 
 
-def clopper_pearson_upper(errors: str, n: str, delta: float, steps: int = 60) -> Column:
-    """1 if n = 0 or errors >= n; else the p whose binomial CDF at ``errors`` is delta, by bisection."""
-    k, m = F.col(errors).cast("double"), F.col(n).cast("double")
-
-    def cdf(p: Column) -> Column:
-        first = F.struct(F.exp(m * F.ln(1 - p)).alias("t"), F.exp(m * F.ln(1 - p)).alias("s"))
-        add = lambda a, i: F.struct((a["t"] * (m - i + 1) / i * p / (1 - p)).alias("t"), (a["s"] + a["t"] * (m - i + 1) / i * p / (1 - p)).alias("s"))
-        return F.aggregate(F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>")), first, add, lambda a: a["s"])
+def _beta_cdf(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function: its prefactor in logarithms, its continued fraction (Lentz) on the side where it converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_cdf(b, a, 1 - x)
+    tiny, c, i = 1e-300, 1.0, 0
+    d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    f = d
+    while True:
+        i += 1
+        for t in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d, c = 1 / ((1 + t * d) or tiny), (1 + t / c) or tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-14:
+            return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) * f / a
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = (a["lo"] + a["hi"]) / 2
-        right = cdf(mid) > delta
-        return F.struct(F.when(right, mid).otherwise(a["lo"]).alias("lo"), F.when(right, a["hi"]).otherwise(mid).alias("hi"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve, lambda a: (a["lo"] + a["hi"]) / 2)
-    return F.when((m == 0) | (k >= m), 1.0).otherwise(found)
+def clopper_pearson_upper(errors: str, n: str, delta: float, steps: int = 60) -> Column:
+    """1 if n = 0 or errors >= n; else the p whose binomial CDF at ``errors`` is delta, by bisection. No built-in has the CDF at any n, so Python does."""
+
+    def bound(k, m):
+        if k is None or m is None:
+            return None
+        if m == 0 or k >= m:
+            return 1.0
+        lo, hi = 0.0, 1.0
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if _beta_cdf(m - k, k + 1, 1 - mid) > delta else (lo, mid)
+        return (lo + hi) / 2
+
+    return F.udf(bound, "double")(F.col(errors).cast("long"), F.col(n).cast("long"))
 
 
 def threshold_table(scored: DataFrame, spark, points: int = 201, p: str = "p", y: str = "y") -> DataFrame:
