@@ -226,6 +226,17 @@ def answer_f1(spark, sf):
     return u.join(v, "conv_id").select("conv_id", F.round(M.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), (F.col("a") == F.col("b")).alias("em"))
 
 
+@query()
+def answer_f1_turns(spark, sf):
+    """conv_id, turn, f1, em: each assistant row against the last user row before it; answer_f1 has turns 0 and 1 only, as its SQL."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", T.tokenize_lower("text").alias("b"))
+    c = c.withColumn("a", F.last(F.when(F.col("role") == "user", F.col("b")), ignorenulls=True).over(w)).filter("role = 'assistant' and a is not null")
+    return c.select("conv_id", "turn", F.round(M.token_f1(F.col("a"), F.col("b")), 6).alias("f1"), (F.col("a") == F.col("b")).alias("em"))
+
+
 @query(f"""WITH s AS ({_P}), d AS (SELECT policy, y, CASE policy WHEN 'always' THEN true WHEN 'threshold' THEN p >= 0.6 ELSE doc_id % 5 <> 0 AND p >= CASE policy WHEN 'conformal' THEN 0.5 ELSE 0.6 END END AS a FROM s, (VALUES ('always'), ('threshold'), ('fused_veto'), ('conformal')) v(policy))
 SELECT policy, count(*) FILTER (a) AS answered, round(avg(1 - y) FILTER (a), 6) AS risk FROM d GROUP BY policy""")
 def abstention_policies(spark, sf):
