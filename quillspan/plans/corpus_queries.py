@@ -88,6 +88,21 @@ def bm25_tuning(spark, sf):
     return r.join(_gold(spark, sf), ["qid", "doc_id"], "left_semi").groupBy("k1", "b").agg(F.count("*").alias("hits_5"))
 
 
+@query()
+def bm25_tuning_grid(spark, sf):
+    """k1, b, hits_5, mrr_10, best for all 16 points of the reference; best has the most hits_5, of equals the least k1, then b. bm25_tuning has 4 of them, as its SQL."""
+    from pyspark.sql import Window
+
+    k1s, bs = (0.9, 1.2, 1.5, 2.0), (0.3, 0.5, 0.75, 0.9)
+    s = R.bm25_grid(_docs(spark, sf), _asked(spark, sf), k1s, bs, spark).withColumn("score", F.round("score", 9))
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("k1", "b", "qid").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 10")
+    gold, asked = _gold(spark, sf), table(spark, sf, "benchmark").agg(F.count("*").alias("asked"))
+    found = r.join(gold, ["qid", "doc_id"], "left_semi").groupBy("k1", "b").agg(F.count_if(F.col("rank") <= 5).alias("hits_5"), F.sum(1 / F.col("rank")).alias("mrr"))
+    points = spark.createDataFrame([(float(k), float(b)) for k in k1s for b in bs], "k1 double, b double")
+    out = points.join(found, ["k1", "b"], "left").fillna(0).join(F.broadcast(asked)).select("k1", "b", "hits_5", F.round(F.col("mrr") / F.col("asked"), 6).alias("mrr_10"))
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("hits_5"), "k1", "b")) == 1)  # one row a point
+
+
 def _tfidf_sql(d, q):
     return f"""d AS (SELECT doc_id, {d} AS w FROM documents), q AS (SELECT item_id AS qid, {q} AS w FROM benchmark), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
 i AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM p GROUP BY term HAVING count(*) >= 2), dv AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM p JOIN i USING (term)),

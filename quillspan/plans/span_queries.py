@@ -107,4 +107,4 @@ def calibrators(spark, sf):
 
 @query()
 def topic_clusters(spark, sf):
-    return D.clusters(table(spark, sf, "embeddings"), (5, 8))
+    return D.clusters(table(spark, sf, "embeddings"), (5, 8, 12, 16, 20))
