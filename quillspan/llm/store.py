@@ -39,7 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     _OWN.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._held = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that written() gave, once all that reads them has been written itself."""
+    for df in frames:
+        held = (df.sparkSession, df._held)
+        _OWN.remove(held)
+        _delete(*held)
 
 
 def release(spark: SparkSession) -> None:

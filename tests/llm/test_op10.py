@@ -24,11 +24,17 @@ def got(spark, rows):
     return sorted((tuple(r) for r in suffixes.remove_repeated(d).collect()), key=repr)
 
 
-def test_pieces_of_long_texts(monkeypatch):
-    data = bytes(random.Random(2).choices(b"abcd ", k=5000))
-    whole = suffixes.runs(data)
-    monkeypatch.setattr(suffixes, "_PIECE", 300)
-    assert all((x == y).all() for x, y in zip(whole, suffixes.runs(data)))
+def test_pieces_and_groups_of_texts(monkeypatch):
+    r = random.Random(2)
+    texts = [bytes(r.choices(b"abcd ", k=n)) for n in (5000, 99, 100, 0, 350, 1200)]
+    whole = [suffixes.runs([t]) for t in texts]
+    for piece, group in ((1 << 20, 1 << 17), (300, 1 << 17), (1 << 20, 50), (300, 50)):
+        monkeypatch.setattr(suffixes, "_PIECE", piece)
+        monkeypatch.setattr(suffixes, "_GROUP", group)
+        i, *got = suffixes.runs(texts)
+        for k in range(len(texts)):
+            assert all((x[i == k] == y).all() for x, y in zip(got, whole[k][1:]))
+    assert sum(whole[0][3]) == 5000 - 99
 
 
 def test_against_brute_force(spark):
