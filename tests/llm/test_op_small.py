@@ -134,21 +134,75 @@ def similar(rows):
     return [(rows[a][0], min((rows[b][0] for b in range(n) if root[b] == root[a] and rows[b][0] is not None), default=None), links[a]) for a in range(n)]
 
 
-def test_jaccard(spark):
+def test_jaccard(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     near = [(100 + k, " ".join(base[:k] + ["edit"] + base[k + 1 :])) for k in range(0, 60, 2)]
     rows = [*TEXTS, *near, (300, " ".join(base)), (301, " ".join(base).upper()), (302, "one two"), (303, "ONE, two!")]
-    old, jaccard.BLOCK = jaccard.BLOCK, 7
-    try:
+    for block, many in ((7, 0), (256, 10**9)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "MANY", many)
         got = jaccard.join(frame(spark, rows)).collect()
-    finally:
-        jaccard.BLOCK = old
-    assert order((r.doc_id, r.class_id, r.n_links) for r in got) == order(similar(rows))
+        assert order((r.doc_id, r.class_id, r.n_links) for r in got) == order(similar(rows))
     assert jaccard.join(frame(spark).limit(0)).count() == 0
     left = [r.doc_id for r in jaccard.one_of_each(frame(spark, rows)).collect()]
     assert 300 not in left and 100 in left and 303 not in left and None in left
 
 
+def classes(rows):
+    """Numbers of the rows of each class of near-duplicates, rows without words apart."""
+    sets, root = [], list(range(len(rows)))
+    for _, t in rows:
+        w = brute.words(t)
+        n = min(5, len(w))
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if n else frozenset())
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 5 * both >= 4 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    out = defaultdict(list)
+    for k, r in enumerate(root):
+        out[r].append(k)
+    return list(out.values())
+
+
+def test_one_of_each_with_null_reused_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(80)]
+    t = [" ".join(base[:k] + ["edit"] + base[k + 1 :]) for k in range(0, 40, 8)] + ["a text of its own that nothing else is like at all", "and another one with quite other words in it indeed", None, ""]
+    rows = [(5, t[0]), (9, t[1]), (9, t[5]), (1, t[6]), (1, t[6]), (1, t[2]), (None, t[3]), (None, t[3]), (None, t[5]), (None, "lone text without any id, and twice"), (None, "lone text without any id, and twice"), (2, t[7]), (2, t[7]), (3, t[8]), (None, t[7])]
+    got = jaccard.one_of_each(spark.createDataFrame([(i, x, k % 3, k, "d") for k, (i, x) in enumerate(rows)], "doc_id long, text string, n int, th int, _d string"))
+    assert got.columns == ["doc_id", "text", "n", "th", "_d"]
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    want = Counter()
+    for group in classes(rows):
+        if not brute.words(rows[group[0]][1]):
+            want.update(rows[k] for k in group)
+            continue
+        least = min(((rows[k][0] is None, rows[k][0] or 0) for k in group))
+        assert sum(kept[x] for x in {rows[k] for k in group}) == 1
+        want.update({next(x for x in {rows[k] for k in group} if kept[x]): 1})
+        assert next((x[0] is None, x[0] or 0) for x in {rows[k] for k in group} if kept[x]) == least
+    assert kept == want
+    few = [(1, t[0]), (1, t[5]), (2, t[1]), (None, t[2])]
+    links = {(r.doc_id, r.n_links) for r in jaccard.join(spark.createDataFrame(few, "doc_id long, text string")).collect()}
+    assert links == {(i, n) for i, _, n in similar(few)} == {(1, 2), (1, 0), (2, 1), (None, 1)}
+
+
+def test_components(spark):
+    import random
+
+    r = random.Random(4)
+    edges = [(f"{r.random():.6f}", "") for _ in range(60)]
+    names = [e[0] for e in edges]
+    edges = [(a, b) for a, b in zip(names[:30], names[1:31])] + [(names[40], x) for x in names[41:50]] + [(names[55], names[55])]
+    root = {x: x for e in edges for x in e}
+    for a, b in edges:
+        lo, hi = sorted((root[a], root[b]))
+        root = {k: lo if v == hi else v for k, v in root.items()}
+    got = jaccard.components(spark.createDataFrame(edges, "a string, b string"), "a", "b")
+    assert {(x.node, x.root) for x in got.collect()} == set(root.items())
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello \\# <x>"), (2, 0, "system", "be kind"), (2, 1, "user", "hi"), (2, 2, "assistant", "yo"), (2, 3, "user", None),
