@@ -54,7 +54,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
+    """A row for each document: doc_id, th (hash of its text), n_words, n_hit, n_items, items (sorted), contaminated."""
     windows = benchmark_windows(benchmark).withColumn("wid", F.md5(F.concat_ws(" ", "run")))
     distinct = windows.select("n", "fp", "wid", "run").distinct()
     sizes = windows.groupBy("n").agg(F.count("*").alias("rows"), F.sum(F.length(F.concat_ws(" ", "run"))).alias("chars")).collect()  # at most WINDOW rows
@@ -79,7 +79,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     base = docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if not hits:
         none = F.lit(0).cast("long")
-        return base.select("doc_id", "n_words", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "th", "n_words", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     hit = reduce(DataFrame.unionByName, hits).distinct()
     spans = hit.groupBy("doc_id", "th", "start").agg(F.max("end").alias("end"))
     before = Window.partitionBy("doc_id", "th").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +88,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     items = hit.select("doc_id", "th", "wid").distinct().join(F.broadcast(owners) if small else owners, "wid").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
     both = covered.alias("c").join(items.alias("i"), _same("c", "i")).select("c.doc_id", "c.th", "n_hit", "items")
     return base.alias("b").join(both.alias("x"), _same("b", "x"), "left").select(
-        F.col("b.doc_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.col("b.doc_id").alias("doc_id"), F.col("b.th").alias("th"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
@@ -100,6 +100,8 @@ def _same(a: str, b: str):
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents less those that hold a window of the benchmark; columns and rows as they are."""
-    bad = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """documents less those that hold a window of the benchmark; columns and rows as they are. A row is
+    told by doc_id and text, so a null or reused id takes no clean text with it."""
+    bad = contamination(documents, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad"), F.col("th").alias("__bad_th")).distinct()
+    here = F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__bad_th"))
+    return documents.join(bad, here, "left_anti")

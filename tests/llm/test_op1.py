@@ -43,3 +43,12 @@ def test_whole_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(tuple(r) for r in Q.op1_decontamination(spark, sf).collect()) == sorted(brute.op1(docs, bench))
+
+
+def test_rows_told_by_id_and_text(spark):
+    bad, clean = "one two three four five six seven eight nine ten", "nothing of the kind here"
+    rows = [(None, bad), (None, clean), (3, bad), (3, clean), (4, clean), (4, clean), (5, None), (None, None), (6, "x " + bad)]
+    d = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, th int, start string")
+    got = D.without_contaminated(d, spark.createDataFrame([(1, bad)], "item_id long, text string"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted((r for r in rows if not r[1] or bad not in r[1]), key=key)
