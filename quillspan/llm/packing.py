@@ -3,15 +3,18 @@
 Each document's hashed vector (signed counts of its byte 4-grams in DIMS cells, of unit length) is
 projected to AXES dimensions and gets a Hilbert key. Documents are range-sorted by key and packed
 in that order: each partition is one stretch of the curve, its documents follow one another without
-a gap, and the stream is cut every ``length`` ids. So neighbours on the curve share sequences, and
-only the last sequence of a stretch is not full.
+a gap, and the stream is cut every ``length`` ids. So neighbours on the curve share sequences. What is
+left at the end of a stretch, less than a sequence, goes on with its ids to a second pass, which packs
+the ends of STRETCHES neighbouring stretches in the same way: one sequence in so many stretches is
+not full, however the rows are partitioned.
 
 The key is computed from the text alone, so only texts are shuffled, once; ids are made after the
 shuffle and never leave their task but in the pieces' digests. Ties of the key are ordered by doc_id
 and checksum, which also lets the range partitioner split a key that many documents share.
 
 Cases: a null text is an empty one, whose ids are just the end id; repeated rows are packed each;
-an empty table gives no piece; columns other than doc_id and text are ignored.
+an empty table gives no piece; columns other than doc_id and text are ignored, whatever their names.
+Very long texts are hashed and split into words in blocks; a task holds the ids of one such text.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .store import written
+
 LENGTH = 2048
 END = 1
 DIMS, AXES, BITS, SEED = 64, 3, 16, 20240607
-_BLOCK = 1 << 20
-#: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 1_000_000
+_BLOCK = 1 << 18
+#: Words whose ids a worker remembers, with about 250 bytes each; it starts anew beyond.
+REMEMBERED = 300_000
+STRETCHES = 1024
 
 
 def hashed_vector(data: bytes) -> np.ndarray:
@@ -214,6 +220,32 @@ def ids_of(path: str) -> Ids:
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+class Sequences:
+    """Cuts what it is given into sequences; pieces of one that is not full yet are held back with their ids."""
+
+    def __init__(self, first: int, length: int):
+        self.now, self.length, self.at, self.done, self.open = first, length, 0, [], []
+
+    def add(self, doc, start: int, ids: np.ndarray, total: int) -> None:
+        while len(ids):
+            part = ids[: self.length - self.at]
+            self.open.append((doc, start, len(part), zlib.crc32(part.tobytes()), total, self.now, self.at, part.tobytes()))
+            start, ids, self.at = start + len(part), ids[len(part) :], self.at + len(part)
+            if self.at == self.length:
+                self.close()
+
+    def close(self) -> None:
+        self.done += [(*row[:-1], None) for row in self.open]
+        self.now, self.at, self.open = self.now + (self.at > 0), 0, []
+
+    def rows(self, rest: bool = False) -> pd.DataFrame:
+        """What is done since the last call, and the rest with its ids."""
+        out = pd.DataFrame(self.done + (self.open if rest else []), columns=[*COLUMNS, "ids"])
+        self.done = []
+        return out.astype({"doc_id": "Int64"})
 
 
 def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -226,23 +258,36 @@ def pack(documents: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
     def packed(batches):
         from pyspark import TaskContext
 
-        sequence, at = TaskContext.get().partitionId() << 40, 0
+        out = Sequences(TaskContext.get().partitionId() << 40, length)
         for batch in batches:
             for lo in range(0, len(batch), 1024):
-                part, rows = batch.iloc[lo : lo + 1024], []
+                part = batch.iloc[lo : lo + 1024]
                 for doc, ids in zip(part["doc_id"], ids_of(tokenizer)(part["text"].tolist())):
-                    start = 0
-                    while start < len(ids):
-                        n = min(length - at, len(ids) - start)
-                        rows.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), sequence, at))
-                        start, at = start + n, at + n
-                        if at == length:
-                            sequence, at = sequence + 1, 0
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+                    out.add(doc, 0, ids, len(ids))
+                yield out.rows()
+        yield out.rows(rest=True)
+
+    def ends(batches):
+        """Rows of whole groups of stretches, sorted by group, sequence and offset."""
+        out, group = None, None
+        for b in batches:
+            for g, doc, start, total, ids in zip(b["stretches"], b["doc_id"], b["start"], b["doc_tokens"], b["ids"]):
+                if out is None or g != group:
+                    if out:
+                        out.close()
+                        yield out.rows()[COLUMNS]
+                    out, group = Sequences(1 << 62 | int(g) << 31, length), g
+                out.add(doc, start, np.frombuffer(ids, "<u4"), total)
+            if out:
+                yield out.rows()[COLUMNS]
+        if out:
+            out.close()
+            yield out.rows()[COLUMNS]
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(key("text").alias("key"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), "text")
     order = ["key", "doc_id", "crc"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(packed, SCHEMA)
+    pieces = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInPandas(packed, f"{SCHEMA}, ids binary"))
+    left = pieces.filter("ids is not null").withColumn("stretches", F.shiftright("sequence_id", 40) / STRETCHES).withColumn("stretches", F.floor("stretches"))
+    left = left.repartition("stretches").sortWithinPartitions("stretches", "sequence_id", "offset").mapInPandas(ends, SCHEMA)
+    return pieces.filter("ids is null").select(*COLUMNS).unionByName(left)

@@ -48,6 +48,20 @@ def test_packing(spark):
     assert packing.pack(frame(spark).limit(0), Q.tokenizer_path()).count() == 0
 
 
+def test_packing_pads_little_at_any_number_of_partitions(spark):
+    docs = spark.createDataFrame([(i % 90, f"short text {i} of words") for i in range(900)], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = packing.pack(docs, Q.tokenizer_path()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) == -(-total // packing.LENGTH) and sum(r.doc_tokens for r in got if r.start == 0) == total
+
+
 def test_hilbert_neighbours_touch():
     n = 1 << 4
     old, packing.BITS = packing.BITS, 4
