@@ -8,15 +8,18 @@ that is similar to leads belongs to the template of the most similar. Turns end
 nothing more. Up to SHORT positions all texts of a key are similar; of longer lines, a text is compared
 with one lead a key and turn, so one that shares its keys with many unlike texts can stay alone. Other
 lines are templates of their own. A template in MIN_DOCS or more documents recurs; its lines are
-dropped, save the first (least doc_id, then least line), so that no content is lost from the corpus.
+dropped. With keep_first the first of them (least doc_id, then least line) stays, so that groups of
+copies, whose every line recurs, do not lose their content.
 
 Lines of fewer than LEAD + 1 tokens are counted by their exact masked text. Lines of fewer than
-MIN_TOKENS tokens are kept: masked, one token makes all numbers one line. Only hashes and counts are
+min_tokens tokens are kept: masked, one token makes all numbers one line. Only hashes and counts are
 shuffled; texts are read again and filtered by line number.
 
 Cases: a null text stays null, an empty one empty; repeated rows with one doc_id and text are one
 document and get the same result; a null doc_id comes first; a document may end empty, but no row
-is dropped; an empty table gives none.
+is dropped; an empty table gives none. Very long texts and lines are split in one pass, and what they
+lose is taken out in one more. Other columns stay as they are, whatever their names; where one is
+called n_lines or n_dropped, that count is not added.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import release, written
+from .store import discard, release, written
 
 LEAD = 3
 MIN_TOKENS = 2
@@ -35,14 +38,14 @@ SIMILAR = 0.6
 SHORT = 7
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """doc_id, th, line (number), masked: lines of MIN_TOKENS tokens or more, variable tokens masked."""
+def _lines(documents: DataFrame, min_tokens: int) -> DataFrame:
+    """doc_id, th, line (number), masked: lines of min_tokens tokens or more, variable tokens masked."""
     # Cleaned and masked once a text, before it is cut into lines: no filter then repeats that work.
     clean = F.when(F.col("text").rlike(r"[\t\r\f]|  "), F.regexp_replace("text", r"[ \t\r\f]+", " ")).otherwise(F.col("text"))
     masked = F.regexp_replace(clean, r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+", "<*>")
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split(masked, "\n")).alias("line", "masked")).filter("masked is not null")
     rows = rows.withColumn("masked", F.trim("masked"))
-    return rows.withColumn("n", F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "))) + 1).filter(F.col("n") >= MIN_TOKENS)
+    return rows.withColumn("n", F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "))) + 1).filter(F.col("n") >= min_tokens)
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def _templates(lines: DataFrame) -> DataFrame:
         # Leads come first in every other turn; else the order is the turn's own, so that no text stands before others for good.
         order = F.xxhash64("mh", F.lit(turn)).bitwiseAND(F.lit((1 << 62) - 1))
         order = order if turn % 2 else F.when(F.col("is_lead"), -1 - order).otherwise(order)
-        keys = written(texts.select("mh", "is_lead", order.alias("order"), F.explode(_keys(F.size("toks"))).alias("key")))
+        keys = texts.select("mh", "is_lead", order.alias("order"), F.explode(_keys(F.size("toks"))).alias("key"))
         heads = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("mh", "order").alias("lead")).filter("n > 1").select("key", "lead")
         pairs = written(keys.join(heads, "key").groupBy("mh", "lead").agg(F.max("is_lead").alias("is_lead")))
         a, b = texts.select("mh", "toks"), texts.select(F.col("mh").alias("lead"), F.col("toks").alias("lead_toks"))
@@ -87,8 +90,9 @@ def _templates(lines: DataFrame) -> DataFrame:
         links = written(pairs.filter("mh <> lead and not is_lead").join(a, "mh").join(b, "lead").withColumn("alike", alike).filter(F.col("alike") >= _asked(F.size("toks"))).select("mh", "lead", "alike"))
         # A text that follows another leads none in this turn: its followers look again in the next.
         own = links.join(links.select(F.col("mh").alias("lead")).distinct(), "lead", "left_anti")
-        new = written(own.groupBy("mh").agg(F.max(F.struct("alike", "lead")).alias("x")).select("mh", F.col("x.lead").alias("template")))
-        quiet, turn = quiet + 1 if new.isEmpty() else 0, turn + 1
+        new = own.groupBy("mh").agg(F.max(F.struct("alike", "lead")).alias("x")).select("mh", F.col("x.lead").alias("template"))
+        # Of any chain of links, the texts at its end follow a lead that follows none.
+        quiet, turn = quiet + 1 if links.isEmpty() else 0, turn + 1
         found = found.unionByName(new)
         leads = new.select(F.col("template").alias("mh"), F.lit(True).alias("now")).distinct()
         # A text that shares no key with another can follow none in a later turn.
@@ -98,25 +102,36 @@ def _templates(lines: DataFrame) -> DataFrame:
     return found.unionByName(found.select("template", "template").distinct().toDF("mh", "template"))
 
 
-def recurring_lines(documents: DataFrame) -> DataFrame:
+def recurring_lines(documents: DataFrame, keep_first: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, th, drop: the numbers of the lines to drop in each document that has any."""
-    lines = written(_hashed(_lines(documents)).select("doc_id", "th", "line", "mh", "leaf", "toks"))
+    lines = written(_hashed(_lines(documents, min_tokens)).select("doc_id", "th", "line", "mh", "leaf", "toks"))
     found = written(_templates(lines))
     release(documents.sparkSession)
     keyed = lines.join(found, "mh", "left").select("doc_id", "th", "line", F.coalesce("template", "mh").alias("template"))
     docs = keyed.groupBy("template", "doc_id", "th").agg(F.min("line").alias("line"))
-    rec = docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("first")).filter(F.col("docs") >= MIN_DOCS)
-    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))
-    out = written(keyed.join(rec, "template").filter(~first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    first = F.struct("doc_id", "th", "line")
+    rec = docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(first).alias("first")).filter(F.col("docs") >= MIN_DOCS)
+    # Written, so that the join below has two dealt sides and a very common template can be split.
+    rec = written(rec.select("template", "first"))
+    gone = keyed.join(rec, "template")
+    if keep_first:
+        gone = gone.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))))
+    out = written(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    discard(lines, found, rec)
     release(documents.sparkSession)
     return out
 
 
-def drop_recurring(documents: DataFrame) -> DataFrame:
+def drop_recurring(documents: DataFrame, keep_first: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """documents with the recurring lines out of their texts; n_lines and n_dropped added."""
     # A merge join at every size: the list of lines to drop grows with the corpus.
-    drop = recurring_lines(documents).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "drop").hint("merge")
-    out = documents.withColumn("_h", F.xxhash64("text")).join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"), "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)}).drop("_h", "_d", "_t", "drop")
+    drop = recurring_lines(documents.select("doc_id", "text"), keep_first, min_tokens).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("drop").alias("__drop")).hint("merge")
+    here = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    out = documents.join(drop, here, "left")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    lost = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
+    # The parts are an argument of the outer function, so they are split once a text.
+    kept = F.transform(F.array(F.split("text", "\n")), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop")), lambda i: parts[i]), "\n"))[0]
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
+    added = [c.alias(n) for n, c in (("n_lines", count), ("n_dropped", lost)) if n not in documents.columns]
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], *added)

@@ -85,7 +85,7 @@ def test_secrets(spark):
 
 def test_line_dedup(spark):
     rows = [(i, f"own line number one of {w} here\nThe footer line of page {i}\nshort\nplain shared line with words") for i, w in enumerate(("ant", "bee", "cat", "dog"))]
-    got = {r.doc_id: r for r in linededup.drop_recurring(frame(spark, [*rows, (90, None), (91, ""), (None, "plain shared line with words")])).collect()}
+    got = {r.doc_id: r for r in linededup.drop_recurring(frame(spark, [*rows, (90, None), (91, ""), (None, "plain shared line with words")]), keep_first=True).collect()}
     assert got[90].text is None and got[91].text == "" and got[None].text == "plain shared line with words"
     assert got[0].text.split("\n")[1:] == ["The footer line of page 0", "short"]  # the null id comes first for the plain line
     for i in (1, 2, 3):
@@ -95,13 +95,13 @@ def test_line_dedup(spark):
 
 def test_line_dedup_short_lines(spark):
     rows = [(i, f"{w} has its own line\nAll rights reserved.\nAnd ornd.\nonly {w}") for i, w in enumerate(("ant", "bee", "cat"))]
-    got = {r.doc_id: r.text.split("\n") for r in linededup.drop_recurring(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.text.split("\n") for r in linededup.drop_recurring(frame(spark, rows), keep_first=True).collect()}
     assert got == {0: rows[0][1].split("\n"), 1: ["bee has its own line", "only bee"], 2: ["cat has its own line", "only cat"]}
 
 
 def kept(spark, texts):
     """The one-line documents that keep their line, by number."""
-    return {r.doc_id for r in linededup.drop_recurring(frame(spark, list(enumerate(texts)))).collect() if r.text}
+    return {r.doc_id for r in linededup.drop_recurring(frame(spark, list(enumerate(texts))), keep_first=True).collect() if r.text}
 
 
 NAMES = ("ant", "bee", "cat", "dog", "elk", "fox")
@@ -123,6 +123,16 @@ def test_line_dedup_counts_tokens_beyond_the_leading(spark):
     assert kept(spark, apart) == set(range(6))
 
 
+def test_line_dedup_drops_all_and_leaves_other_columns(spark):
+    rows = [(i, f"{w} has its own line here\nAll rights reserved.\nthe page number {i} of it\n", f"d{i}", i, None if i else 7) for i, w in enumerate(NAMES)]
+    rows += [(None, "All rights reserved.", "x", 0, 0), (None, None, "y", 1, 1), (0, "", "z", 2, 2), (0, rows[0][1], "again", 3, 3), (9, "word " * 30000 + "\nAll rights reserved.", "long", 4, 4)]
+    got = linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string, drop string, n_lines int, th int"))
+    assert got.columns == ["doc_id", "text", "drop", "n_lines", "th", "n_dropped"]
+    cut = lambda t: t if t is None else "\n".join(x for x in t.split("\n") if x != "All rights reserved." and "page number" not in x)
+    want = [(i, cut(t), *more, (t or "").count("rights") + (t or "").count("page number")) for i, t, *more in rows]
+    assert order(tuple(r) for r in got.collect()) == order(want)
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(i, ("good clean words of prose " * 9) if i % 2 else ("BUY!!! NOW*** $$$ " * 9)) for i in range(200)] + [(900, None), (None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (900, 1), (5, None)], "doc_id long, quality int")
