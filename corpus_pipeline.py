@@ -20,8 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that recur across them; a document that this empties stays, empty."""
-    out = linededup.drop_recurring(docs)
+    """All documents, without lines that recur across them, but for the first of each: else copies, which the
+    next stage thins out, would end empty. A document that this empties stays, empty."""
+    out = linededup.drop_recurring(docs, keep_first=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
