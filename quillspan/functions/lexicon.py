@@ -39,11 +39,15 @@ SUFFIX_TIERS = {
     "adverbial": words("ভাবেই ভাবে তমভাবে সহকারে পূর্বক"),
 }
 QUESTION_WORDS = (
-    (words("কে কারা কাকে কার কাদের"), "PERSON"), (words("কোথায় কোথা কোনখানে"), "PLACE"), (words("কখন কবে"), "TIME"), (words("কেন কীজন্য কিজন্য"), "REASON"),
+    (words("কে কারা কাকে কার কাদের"), "PERSON"), (words("কোথায় কোথা কোন্‌খানে কোনখানে"), "PLACE"), (words("কখন কবে"), "TIME"), (words("কেন কীজন্য কিজন্য"), "REASON"),
     (words("কীভাবে কিভাবে কেমনে"), "PROCESS"), (words("কত কতটি কয়টি কতগুলো কতজন কতটুকু কতখানি"), "NUMBER"), (words("কী কি কোনটি কোনগুলো কোন"), "THING"),
 )
 QUESTION_PHRASES = (
     ("কত সালে", "TIME"), ("কোন সালে", "TIME"), ("কত সালের", "TIME"), ("কত তারিখে", "TIME"), ("কোন তারিখে", "TIME"), ("কোন বছর", "TIME"), ("কত শতাব্দী", "TIME"), ("কোন সময়", "TIME"),
     ("কী কারণে", "REASON"), ("কি কারণে", "REASON"), ("কোন স্থানে", "PLACE"), ("কোন জায়গায়", "PLACE"), ("কোন দেশে", "PLACE"), ("কত সংখ্যক", "NUMBER"), ("কত শতাংশ", "NUMBER"),
 )
+LIST_CUES = ("কী কী", "কি কি", "কোন কোন", "কারা কারা", "কয়টি", "কতগুলো", "তালিকা", "নামগুলো")
+WHAT = words("কি কী")
+#: The particle of assent and that of denial, as answers to yes/no questions.
+YES, NO = "হ্যাঁ", "না"
 HASANT = "্"
