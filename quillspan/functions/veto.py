@@ -156,22 +156,20 @@ def containment(answer, evidence) -> Column:
 def stem(token: Column, vocabulary: Column | None = None, strips: int = 2) -> Column:
     """Up to ``strips`` suffixes off; a stem has three code points or more and no final hasant.
 
-    With a vocabulary (an array) the longest suffix whose rest it holds; else tiers in order, longest first."""
+    With a vocabulary (a small array; operators.retrieval.stems has one of any size) the longest suffix whose
+    rest it holds; else tiers in order, longest first."""
     tiers = [s for tier in L.SUFFIX_TIERS.values() for s in sorted(tier, key=lambda s: (-len(s), s))]
-    order = sorted(tiers, key=lambda s: (-len(s), s)) if vocabulary is not None else tiers
+    order = _among(sorted(tiers, key=lambda s: (-len(s), s)) if vocabulary is not None else tiers)
 
     def once(t: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for s in reversed(order):
-            rest = F.left(t, F.length(t) - len(s))
-            ok = F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= 3) & ~F.endswith(rest, F.lit(L.HASANT))
-            if vocabulary is not None:
-                ok = ok & F.array_contains(vocabulary, rest)
-            found = F.when(ok, rest).otherwise(found)
-        return F.coalesce(found, t)
+        rest = lambda s: F.left(t, F.length(t) - F.length(s))
+        fits = lambda s: F.endswith(t, s) & (F.length(t) - F.length(s) >= 3) & ~F.endswith(rest(s), F.lit(L.HASANT))
+        ok = fits if vocabulary is None else lambda s: fits(s) & F.array_contains(vocabulary, rest(s))
+        return let(F.get(F.filter(order, ok), F.lit(0)), lambda s: F.when(s.isNotNull(), rest(s)).otherwise(t))
 
+    # All suffixes are of one script: other tokens are left at once.
     for _ in range(strips):
-        token = let(token, once)
+        token = let(token, lambda t: F.when(t.rlike("[\u0980-\u09FF]$"), once(t)).otherwise(t))
     return token
 
 
