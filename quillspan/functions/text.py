@@ -119,7 +119,62 @@ def char_ngrams(c, low: int = 3, high: int = 5) -> Column:
 
 
 def sentences(c) -> Column:
-    return F.filter(F.transform(F.split(normalize(c), SENTENCE_END), F.trim), lambda s: F.length(s) >= 2)
+    return F.filter(F.transform(F.split(normalize(c), SENTENCE_END), lambda x: F.trim(x)), lambda s: F.length(s) >= 2)
+
+
+def sentence_spans(c) -> Column:
+    """array<struct<sentence,start,end>> of text that is normalised already; offsets hold without looking the sentence up."""
+    c = col(c)
+    both = F.arrays_zip(F.split(c, SENTENCE_END, -1).alias("s"), F.regexp_extract_all(c, F.lit(SENTENCE_END), F.lit(0)).alias("g"))
+    blank = lambda s: F.length(s) - F.length(F.ltrim(s))
+    placed = F.aggregate(
+        both,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sentence:string,start:int,end:int>>").alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["s"]) + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"),
+            F.concat(a["out"], F.array(F.struct(F.trim(x["s"]).alias("sentence"), (a["at"] + blank(x["s"])).alias("start"), (a["at"] + blank(x["s"]) + F.length(F.trim(x["s"]))).alias("end")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    return F.filter(placed, lambda x: F.length(x["sentence"]) >= 2)
+
+
+def truncated(c, limit: int = 2000) -> Column:
+    """struct(text, cut): the first ``limit`` code points, and whether there were more."""
+    c = col(c)
+    return F.struct(F.left(c, F.lit(limit)).alias("text"), (F.length(c) > limit).alias("cut"))
+
+
+def config_hash(settings: dict) -> str:
+    """Twelve hexadecimal digits of the settings' JSON with sorted keys."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()[:12]
+
+
+def slug_pid(prefix: str, c) -> Column:
+    """prefix_ and the id with runs of other characters than ASCII letters and digits as one underscore."""
+    return F.concat(F.lit(f"{prefix}_"), F.regexp_replace(F.regexp_replace(col(c), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def highlight(sentence, start: Column, end: Column, left: str = "**", right: str = "**") -> Column:
+    """The sentence with the stretch from start to end (offsets in it) marked; unmarked where they do not lie within it."""
+    s = col(sentence)
+    fits = (start >= 0) & (start < end) & (end <= F.length(s))
+    return F.when(fits, F.concat(F.left(s, start), F.lit(left), F.substring(s, start + 1, end - start), F.lit(right), F.substring(s, end + 1, F.length(s)))).otherwise(s)
+
+
+# What parts clauses, and their least length.
+CLAUSE_END = r"(?<=[,;:])\s+|\s+(?=কারণ|যেহেতু|ফলে|তাই|অর্থাৎ)\s*"
+CLAUSE_LEAST = 8
+
+
+def clauses(sentence) -> Column:
+    """The whole sentence, then its clauses of CLAUSE_LEAST characters or more, unless that is all of it."""
+    s = col(sentence)
+    parts = F.filter(F.transform(F.split(s, CLAUSE_END), lambda x: F.trim(x)), lambda p: (F.length(p) >= CLAUSE_LEAST) & (p != F.trim(s)))
+    return F.concat(F.array(s), parts)
 
 
 def char_trigrams(c) -> Column:

@@ -52,7 +52,7 @@ def units(tokens: Column) -> Column:
 
 def bare_units(tokens: Column) -> Column:
     """The unit words, whether or not a number stands before them."""
-    return F.array_distinct(F.array_intersect(F.transform(tokens, F.lower), _among(L.UNITS)))
+    return F.array_distinct(F.array_intersect(F.transform(tokens, lambda t: F.lower(t)), _among(L.UNITS)))
 
 
 def entities(text: Column, tokens: Column, gazetteer: Column | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import text as T, veto as V
 
 
 def filter_reasons(docs: DataFrame, min_chars: int, ratio_at_least: float | None = None) -> DataFrame:
@@ -41,8 +41,16 @@ def near_pairs(docs: DataFrame, threshold: float = 0.85, key: str = "doc_id") ->
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+def protected_first(pairs: DataFrame, protected: DataFrame) -> DataFrame:
+    """pairs (a, b) turned so that a comes first: a protected id before another, then the lesser id."""
+    flag = lambda c, name: protected.select(F.col(protected.columns[0]).alias(c), F.lit(0).alias(name)).distinct()
+    p = pairs.join(flag("a", "_x"), "a", "left").join(flag("b", "_y"), "b", "left")
+    turned = F.struct(F.coalesce("_x", F.lit(1)), "a") > F.struct(F.coalesce("_y", F.lit(1)), "b")
+    return p.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def greedy_keep(docs: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids that survive: in order of id, one is dropped if an earlier survivor is its partner.
+    """Ids that survive: in order (of id, or as protected_first turns the pairs), one is dropped if an earlier survivor is its partner.
 
     Rounds to a fixpoint over the pairs' ids alone: who has no undecided earlier partner is decided.
     Each round is checkpointed where the session names a folder for it."""
@@ -77,3 +85,148 @@ def audit(docs: DataFrame, by: str) -> DataFrame:
     d = docs.select(by, c.alias("c"), t.alias("t"))
     pct = lambda x, p, name: F.percentile(x, p).alias(name)
     return d.groupBy(by).agg(F.count("*").alias("n"), pct("c", 0.1, "p10_chars"), pct("c", 0.5, "median_chars"), pct("c", 0.9, "p90_chars"), pct("t", 0.5, "median_tokens"))
+
+
+def overlapping_grades(rows: DataFrame, wanted: tuple[int, ...], grade: str = "grade") -> DataFrame:
+    """rows whose grade (``9``, ``9-10`` and the like) covers one of ``wanted``."""
+    g = T.parse_grade(grade)
+    return rows.withColumn("_g", g).filter(F.exists(F.array(*map(F.lit, wanted)), lambda w: (F.col("_g.low") <= w) & (w <= F.col("_g.high")))).drop("_g")
+
+
+def explore(docs: DataFrame, equal: dict, part: str, first: int = 50, key: str = "doc_id") -> DataFrame:
+    """The first rows by key whose columns equal what is asked and whose text holds ``part``: what a corpus browser shows."""
+    for c, v in equal.items():
+        docs = docs.filter(F.col(c) == v)
+    return docs.filter(F.contains("text", F.lit(part))).orderBy(key).limit(first)
+
+
+def seeded(rows: DataFrame, by: list[str], n: int, key: str = "doc_id", seed: int = 7) -> DataFrame:
+    """``n`` rows of each group, in the order of a hash of key and seed."""
+    w = Window.partitionBy(*by).orderBy(F.crc32(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary")), key)
+    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+
+
+def hold_out(rows: DataFrame, keys: list[str], percent: int = 10, seed: int = 7) -> DataFrame:
+    """rows with held_out, decided by a hash of ``keys`` alone, so equal items stay on one side."""
+    h = F.crc32(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return rows.withColumn("held_out", h % 100 < percent)
+
+
+def halves(rows: DataFrame, key: str) -> DataFrame:
+    """rows with half: 0 for the first n div 2 in the order of key, else 1."""
+    from .metrics import rank_of
+
+    n = rows.agg(F.count("*").alias("_n"))
+    return rank_of(rows, [key], "_pos").join(F.broadcast(n)).withColumn("half", (F.col("_pos") > F.expr("_n div 2")).cast("int")).drop("_pos", "_n")
+
+
+def bags(rows: DataFrame, key: str, count: int, share: float = 0.8, seed: int = 7) -> DataFrame:
+    """bag, times and rows: ``count`` samples with replacement of about ``share`` of the rows: each row is in each bag as often
+    as a Poisson draw with that mean says, which a hash of its key decides."""
+    import math
+
+    cells, at = [], 0.0
+    for k in range(8):
+        at += math.exp(-share) * share**k / math.factorial(k)
+        cells.append(at)
+    u = F.pmod(F.xxhash64(F.lit(seed), key, "bag"), F.lit(1 << 31)) / float(1 << 31)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("bag")).withColumn("times", F.size(F.filter(F.array(*map(F.lit, cells)), lambda c: c < u)))
+    return drawn.filter("times > 0")
+
+
+def dedup_counts(docs: DataFrame, exact: DataFrame, near: DataFrame, by: str, key: str = "doc_id") -> DataFrame:
+    """by, seen, exact_duplicate, near_duplicate, kept; exact and near: the ids that survive each step, in turn."""
+    flag = lambda df, name: df.select(key, F.lit(True).alias(name))
+    d = docs.select(key, by).join(flag(exact, "_e"), key, "left").join(flag(near, "_k"), key, "left")
+    return d.groupBy(by).agg(F.count("*").alias("seen"), F.count_if(F.col("_e").isNull()).alias("exact_duplicate"), F.count_if(F.col("_e").isNotNull() & F.col("_k").isNull()).alias("near_duplicate"), F.count_if(F.col("_e").isNotNull() & F.col("_k").isNotNull()).alias("kept"))
+
+
+def nesting(index: DataFrame) -> DataFrame:
+    """size, n, missing: of each index but the largest, how many of its ids the next larger one lacks (0 where nested); index: size, doc_id."""
+    sizes = index.select("size").distinct()
+    following = sizes.alias("a").join(sizes.alias("b"), F.col("a.size") < F.col("b.size")).groupBy(F.col("a.size").alias("size")).agg(F.min("b.size").alias("next"))
+    larger = index.select(F.col("size").alias("next"), "doc_id", F.lit(1).alias("_in"))
+    return index.join(F.broadcast(following), "size").join(larger, ["next", "doc_id"], "left").groupBy("size").agg(F.count("*").alias("n"), F.count_if(F.col("_in").isNull()).alias("missing"))
+
+
+def gold_coverage(index: DataFrame, gold: DataFrame) -> DataFrame:
+    """size, n, gold: how many of the gold ids each index holds."""
+    g = gold.select("doc_id", F.lit(1).alias("_g")).distinct()
+    return index.join(g, "doc_id", "left").groupBy("size").agg(F.count("*").alias("n"), F.count("_g").alias("gold"))
+
+
+def minhash(text, values: int = 64):
+    """Array of the least hash of the text's three-word shingles under each of ``values`` seeds."""
+    return T.let(T.word_shingles(text), lambda s: F.transform(F.sequence(F.lit(1), F.lit(values)), lambda k: F.array_min(F.transform(s, lambda g: F.xxhash64(g, k)))))
+
+
+def synonym_classes(pairs: DataFrame) -> DataFrame:
+    """term, class (the least term that reviewed pairs lead to); pairs: a, b, reviewed. Labels fall until none does; what
+    changes is checkpointed each round where the session names a folder."""
+    cut = lambda df: df.checkpoint() if pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    e = pairs.filter("reviewed").select(F.trim("a").alias("a"), F.trim("b").alias("b"))
+    both = cut(e.union(e.select("b", "a")).union(e.select("a", "a")).union(e.select("b", "b")).distinct())
+    label = cut(both.groupBy("a").agg(F.min("b").alias("class")))
+    while True:
+        near = both.join(label.select(F.col("a").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("new"))
+        further = label.select(F.col("a").alias("new"), F.col("class").alias("top"))
+        step = cut(label.join(near, "a").join(further, "new", "left").select("a", "class", F.least("new", F.coalesce("top", "new")).alias("new")))
+        label = step.select("a", F.col("new").alias("class"))
+        if step.filter("new <> class").isEmpty():
+            return label.select(F.col("a").alias("term"), "class")
+
+
+def synonym_stats(pairs: DataFrame) -> DataFrame:
+    """One row: pairs_total, pairs_reviewed, pairs_unreviewed, terms_in_classes, classes."""
+    c = synonym_classes(pairs).agg(F.count("*").alias("terms_in_classes"), F.count_distinct("class").alias("classes"))
+    return pairs.agg(F.count("*").alias("pairs_total"), F.count_if("reviewed").alias("pairs_reviewed"), F.count_if(~F.col("reviewed")).alias("pairs_unreviewed")).join(c)
+
+
+def expanded(queries: DataFrame, classes: DataFrame, extras: int = 2) -> DataFrame:
+    """qid, text, added: queries (qid, text) with, for each content word, the first ``extras`` others of its class that are not there yet."""
+    words = queries.select("qid", F.posexplode(V.content(T.tokenize_lower("text"))).alias("at", "term"))
+    mine = words.join(classes, "term").join(classes.select(F.col("term").alias("other"), "class"), "class").filter("term <> other")
+    near = mine.withColumn("_k", F.row_number().over(Window.partitionBy("qid", "at").orderBy("other"))).filter(F.col("_k") <= extras)
+    seen = queries.select("qid", F.explode(F.array_distinct(T.tokenize_lower("text"))).alias("_low"))
+    new = near.withColumn("_low", F.lower("other")).join(seen, ["qid", "_low"], "left_anti").groupBy("qid", "_low").agg(F.min(F.struct("at", "_k", "other")).alias("x"))
+    added = new.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return queries.join(added, "qid", "left").select("qid", F.concat_ws(" ", "text", F.transform("x", lambda x: x["other"])).alias("text"), F.greatest(F.size("x"), F.lit(0)).alias("added"))
+
+
+def expansion_coverage(expanded_queries: DataFrame) -> DataFrame:
+    """One row: queries, expanded_queries, expanded_pct, added_terms_per_expanded_query."""
+    some = F.count_if(F.col("added") > 0)
+    return expanded_queries.agg(F.count("*").alias("queries"), some.alias("expanded_queries"), F.round(100 * some / F.greatest(F.count("*"), F.lit(1)), 2).alias("expanded_pct"), F.round(F.sum("added") / F.greatest(some, F.lit(1)), 2).alias("added_terms_per_expanded_query"))
+
+
+def gazetteer(titles: DataFrame, title: str = "title", most: int = 20_000) -> DataFrame:
+    """name: titles of three characters or more and their words of four or more; the least ``most`` of them, a bound that
+    allows a broadcast."""
+    t = titles.select(F.trim(title).alias("t")).filter("length(t) > 2")
+    names = t.select(F.explode(F.concat(F.array("t"), F.filter(F.split("t", r"\s+"), lambda w: F.length(w) > 3))).alias("name")).distinct()
+    return names.orderBy("name").limit(most)
+
+
+def cluster_profile(members: DataFrame, cluster: str, source: str) -> DataFrame:
+    """cluster, size, dominant_source (the least of equals), dominant_pct."""
+    n = members.groupBy(cluster, source).agg(F.count("*").alias("n"))
+    top = n.groupBy(cluster).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), F.col(source).alias("s"))).alias("x"))
+    return top.select(cluster, "size", F.col("x.s").alias("dominant_source"), F.round(-100 * F.col("x.m") / F.col("size"), 1).alias("dominant_pct"))
+
+
+def size_delta(scores: DataFrame, small: int, large: int) -> DataFrame:
+    """arm, small, large, delta, relative_drop: what a larger index costs each arm; scores: arm, size, value."""
+    at = lambda s: F.max(F.when(F.col("size") == s, F.col("value")))
+    return scores.groupBy("arm").agg(at(small).alias("small"), at(large).alias("large")).withColumn("delta", F.col("large") - F.col("small")).withColumn("relative_drop", F.when(F.col("small") != 0, -F.col("delta") / F.col("small")))
+
+
+def first_best(grid: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """The grid point with the largest value, the first in order among equals."""
+    return grid.orderBy(F.desc(value), *order).limit(1)
+
+
+def citation(passages: DataFrame) -> DataFrame:
+    """pid, citable, line: grade, subject, chapter where the passage has a chapter, else its id alone; nothing is invented."""
+    citable = F.coalesce(F.length("chapter_title") > 0, F.lit(False))
+    line = F.concat_ws(", ", F.col("grade_label").cast("string"), "subject", F.col("chapter_no").cast("string"), "chapter_title", "pid")
+    return passages.select("pid", citable.alias("citable"), F.when(citable, line).otherwise(F.col("pid").cast("string")).alias("line"))
