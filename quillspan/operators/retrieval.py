@@ -1,12 +1,14 @@
 """Sparse retrieval over postings in long format: (term, doc_id, tf, dl).
 
-Only terms of the queries are kept before the first shuffle, so the work follows the queries'
-postings, not the corpus vocabulary. The query side is broadcast only when it is small."""
+An index is built once and kept; queries read the postings of their terms, so the work follows these, not
+the corpus. The query side is broadcast only when it is small."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import lexicon as L
+
 BROADCAST_TERMS = 500_000
 
 
@@ -32,49 +34,89 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("doc_id").alias("qid"), F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def idf_table(postings: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term, df, idf; n_docs: one row with n."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n_docs)).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-
 def top_k(scores: DataFrame, k: int, qid: str = "qid", pid: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.desc("score"), pid)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, doc_id, score for all documents that share a term with a query."""
-    q = query_terms(queries)
-    postings = counts(docs, small(q.select("term").distinct()))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))  # one row, documents without tokens included
-    weighted = postings.join(small(idf_table(postings, stats.select("n"))), "term").join(F.broadcast(stats.select("avgdl")))
-    weighted = weighted.withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    return weighted.join(small(q), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
-
-
-def bm25_grid(docs: DataFrame, queries: DataFrame, k1s, bs, spark) -> DataFrame:
-    """k1, b, qid, doc_id, score: postings are counted once and weighted for each grid point."""
-    q = query_terms(queries)
-    postings = counts(docs, small(q.select("term").distinct()))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    grid = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k in k1s for b in bs]))
-    hit = postings.join(small(idf_table(postings, stats.select("n"))), "term").join(F.broadcast(stats.select("avgdl"))).join(small(q), "term")
-    hit = hit.withColumn("g", grid).select("*", "g.k1", "g.b")
-    w = F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("k1", "b", "qid", "doc_id").agg(F.sum(F.col("qtf") * w).alias("score"))
-
-
-def tfidf_scores(docs: DataFrame, queries: DataFrame, min_df: int = 2) -> DataFrame:
-    """Cosine of sublinear tf-idf vectors: idf = ln((1 + n) / (1 + df)) + 1, terms of min_df documents or more."""
-    n = docs.agg(F.count("*").alias("n"))
-    postings = counts(docs)
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df).join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda rows, tf, key: rows.join(idf, "term").select(key, "term", ((1 + F.ln(tf)) * F.col("idf")).alias("w"))
-    d, q = weigh(postings, "tf", "doc_id"), weigh(query_terms(queries), "qtf", "qid")
-    unit = lambda rows, key: rows.join(rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
-    d, q = unit(d, "doc_id").withColumnRenamed("w", "wd"), unit(q, "qid").withColumnRenamed("w", "wq")
-    return d.join(small(q), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+class Index:
+    """Postings of documents, kept: counted once, sorted by term, so that a query reads the row groups of its terms.
+
+    Under its path: postings (term, doc_id, tf, dl), terms (term, df), stats (one row: n, avgdl, documents without tokens
+    included) and norms (doc_id, norm: of the sublinear tf-idf vector over terms of min_df documents or more)."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, min_df: int = 2) -> Index:
+        """docs: doc_id, tokens."""
+        out = cls(docs.sparkSession, path)
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+        put(counts(docs).repartition("term").sortWithinPartitions("term"), "postings")
+        put(out.postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+        put(docs.agg(F.count("*").alias("n")).join(out.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl")), "stats")
+        weights = out.postings.join(out.cosine_idf(min_df), "term").select("doc_id", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+        put(weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+        return out
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in ("postings", "terms", "stats", "norms"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def idf(self) -> DataFrame:
+        """term, df, idf of BM25."""
+        return self.terms.join(F.broadcast(self.stats.select("n"))).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+    def cosine_idf(self, min_df: int = 2) -> DataFrame:
+        return self.terms.filter(F.col("df") >= min_df).join(F.broadcast(self.stats.select("n"))).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def _hits(self, weighted: DataFrame) -> DataFrame:
+        """The postings of the terms asked for; the query side is broadcast only when it is small."""
+        return self.postings.join(small(weighted), "term")
+
+    def bm25(self, queries: DataFrame, points: tuple = ((1.2, 0.75),)) -> DataFrame:
+        """k1, b, qid, doc_id, score for all documents that share a term with a query; queries: doc_id (the query's id), tokens."""
+        hit = self._hits(query_terms(queries).join(self.idf(), "term")).join(F.broadcast(self.stats.select("avgdl")))
+        hit = hit.withColumn("g", F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k, b in points]))).select("*", "g.k1", "g.b")
+        w = F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
+        return hit.groupBy("k1", "b", "qid", "doc_id").agg(F.sum(F.col("qtf") * w).alias("score"))
+
+    def cosine(self, queries: DataFrame) -> DataFrame:
+        """qid, doc_id, score: cosine of sublinear tf-idf vectors. A document's norm is divided by once its sum is made."""
+        q = query_terms(queries).join(self.cosine_idf(), "term").withColumn("w", (1 + F.ln("qtf")) * F.col("idf"))
+        norm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+        q = q.join(norm, "qid").select("qid", "term", (F.col("w") / F.col("qn") * F.col("idf")).alias("wq"))
+        dots = self._hits(q).groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * (1 + F.ln("tf"))).alias("dot"))
+        return dots.join(self.norms, "doc_id").select("qid", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
+
+
+def corpus_vocabulary(docs: DataFrame, min_count: int = 2) -> DataFrame:
+    """term: tokens that occur ``min_count`` times or more; docs: tokens."""
+    return docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("term")
+
+
+def stems(words: DataFrame, vocabulary: DataFrame, strips: int = 2) -> DataFrame:
+    """term, stem of distinct terms: ``strips`` times the longest suffix comes off whose rest is in the vocabulary, has three code
+    points or more and no final hasant. Rests are looked up by a join, so the vocabulary may be of any size."""
+    tiers = F.array(*[F.lit(x) for x in sorted({s for tier in L.SUFFIX_TIERS.values() for s in tier})])
+    out = words.select("term").distinct().withColumn("stem", F.col("term"))
+    for _ in range(strips):
+        rest = F.left("stem", F.length("stem") - F.length("suffix"))
+        cut = out.filter(F.col("stem").rlike("[\u0980-\u09FF]$")).select("term", "stem", F.explode(F.filter(tiers, lambda s: F.endswith("stem", s))).alias("suffix"))
+        cut = cut.select("term", rest.alias("rest"), F.length("suffix").alias("n")).filter((F.length("rest") >= 3) & ~F.endswith("rest", F.lit(L.HASANT)))
+        best = cut.join(vocabulary.select(F.col("term").alias("rest")).distinct(), "rest").groupBy("term").agg(F.max_by("rest", "n").alias("next"))
+        out = out.join(best, "term", "left").select("term", F.coalesce("next", "stem").alias("stem"))
+    return out
+
+
+def sparse_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, term, tf, dl over stems of the tokens that are no stopwords; only the sparse arms see these. docs: doc_id, tokens."""
+    stop = F.array(*[F.lit(w) for w in sorted(set(L.STOPWORDS) - set(L.VETO_SAFE))])
+    kept = counts(docs.select("doc_id", F.filter("tokens", lambda t: ~F.array_contains(stop, t)).alias("tokens")))
+    stemmed = kept.join(stems(kept, vocabulary), "term")
+    return stemmed.groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
 
 
 def rrf(arms: list[DataFrame], k: int = 60) -> DataFrame:

@@ -1,10 +1,12 @@
 """Retrieval, corpus and metric queries over the driver's tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C, metrics as M, retrieval as R
-from ..sources.tables import latest_by_name, table
+from ..sources.tables import latest_by_name, shared_dir, table
 from . import sqltext as S
 
 QUERIES, ORACLES = {}, {}
@@ -28,6 +30,20 @@ def _asked(spark, sf, tokens=None):
     return R.analysed(table(spark, sf, "benchmark"), "item_id", tokens if tokens is not None else T.tokenize_lower("text"))
 
 
+_BUILT: dict = {}
+
+
+def index(spark, sf, kind="word"):
+    """The kept index over documents, built once for each application and folder."""
+    at = (spark.sparkContext.applicationId, sf, kind)
+    if at not in _BUILT:
+        tokens = T.char_ngrams("text") if kind == "char" else None
+        _BUILT[at] = R.Index.build(_docs(spark, sf, tokens), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    held = _BUILT[at]
+    held.spark = spark
+    return held
+
+
 _TF = f"""d AS (SELECT doc_id, {S.tokens_lower('text')} AS w FROM documents), q AS (SELECT item_id AS qid, {S.tokens_lower('text')} AS w FROM benchmark),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d), p AS (SELECT term, doc_id, dl, count(*) AS tf FROM t GROUP BY ALL),
 i AS (SELECT term, count(*) AS df FROM p GROUP BY term), qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(w) AS term FROM q) GROUP BY ALL)"""
@@ -48,13 +64,19 @@ def ranked(scores, k):
 
 @query(f"WITH {_TF} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM i, s")
 def bm25_stats(spark, sf):
+    return index(spark, sf).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_TF} SELECT term, df FROM i")
+def sparse_terms(spark, sf):
+    """Terms of the sparse arms, stopwords out and stemmed by the corpus's own vocabulary, with their document frequencies."""
     d = _docs(spark, sf)
-    return R.idf_table(R.counts(d), d.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.sparse_counts(d, R.corpus_vocabulary(d)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {_TF}, sc AS ({_bm25()}), r AS ({_RANK.format('sc')}) SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(round(score, 9), 4) AS score FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return ranked(R.bm25_scores(_docs(spark, sf), _asked(spark, sf)), 10).select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return ranked(index(spark, sf).bm25(_asked(spark, sf)), 10).select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 _GOLD = f"""gold AS (SELECT q.item_id AS qid, min(d.doc_id) AS doc_id FROM (SELECT item_id, {S.match('text')} AS m FROM benchmark) q JOIN (SELECT doc_id, {S.match('text')} AS m FROM documents) d ON contains(d.m, q.m) GROUP BY q.item_id)"""
@@ -65,8 +87,9 @@ def _gold(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.normalize_for_match("text").alias("q"))
     b = b.withColumn("k", F.xxhash64(F.slice(F.split("q", " "), 1, 4)))
     d = table(spark, sf, "documents").select("doc_id", T.normalize_for_match("text").alias("m")).withColumn("w", F.split("m", " "))
-    grams = d.select("doc_id", "m", F.explode_outer(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda x, i: F.xxhash64(F.slice("w", i + 1, F.lit(4))))).alias("k"))
-    return grams.join(R.small(b), "k").filter(F.contains("m", "q")).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+    grams = d.select("doc_id", F.explode_outer(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda x, i: F.xxhash64(F.slice("w", i + 1, F.lit(4))))).alias("k"))
+    near = grams.join(b.select("qid", "k"), "k").select("doc_id", "qid").distinct()
+    return near.join(d.select("doc_id", "m"), "doc_id").join(b.select("qid", "q"), "qid").filter(F.contains("m", "q")).groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
 
 
 _MET = """count(*) AS n_queries, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) AS recall_1, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) AS recall_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS recall_10,
@@ -75,7 +98,7 @@ avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END) AS mrr_10, avg(CASE WHEN ra
 
 @query(f"WITH {_TF}, {_GOLD}, sc AS ({_bm25()}), r AS ({_RANK.format('sc')}), x AS (SELECT q.qid, r.rank FROM q LEFT JOIN gold g USING (qid) LEFT JOIN r ON r.qid = g.qid AND r.doc_id = g.doc_id AND r.rank <= 100) SELECT {_MET} FROM x")
 def bm25_metrics(spark, sf):
-    hits = ranked(R.bm25_scores(_docs(spark, sf), _asked(spark, sf)), 100)
+    hits = ranked(index(spark, sf).bm25(_asked(spark, sf)), 100)
     return R.retrieval_metrics(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")), hits, _gold(spark, sf))
 
 
@@ -83,7 +106,7 @@ def bm25_metrics(spark, sf):
 def bm25_tuning(spark, sf):
     from pyspark.sql import Window
 
-    s = R.bm25_grid(_docs(spark, sf), _asked(spark, sf), (0.9, 1.2), (0.3, 0.75), spark).withColumn("score", F.round("score", 9))
+    s = index(spark, sf).bm25(_asked(spark, sf), tuple((k, b) for k in (0.9, 1.2) for b in (0.3, 0.75))).withColumn("score", F.round("score", 9))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("k1", "b", "qid").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 5")
     return r.join(_gold(spark, sf), ["qid", "doc_id"], "left_semi").groupBy("k1", "b").agg(F.count("*").alias("hits_5"))
 
@@ -94,7 +117,7 @@ def bm25_tuning_grid(spark, sf):
     from pyspark.sql import Window
 
     k1s, bs = (0.9, 1.2, 1.5, 2.0), (0.3, 0.5, 0.75, 0.9)
-    s = R.bm25_grid(_docs(spark, sf), _asked(spark, sf), k1s, bs, spark).withColumn("score", F.round("score", 9))
+    s = index(spark, sf).bm25(_asked(spark, sf), tuple((k, b) for k in k1s for b in bs)).withColumn("score", F.round("score", 9))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("k1", "b", "qid").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 10")
     gold, asked = _gold(spark, sf), table(spark, sf, "benchmark").agg(F.count("*").alias("asked"))
     found = r.join(gold, ["qid", "doc_id"], "left_semi").groupBy("k1", "b").agg(F.count_if(F.col("rank") <= 5).alias("hits_5"), F.sum(1 / F.col("rank")).alias("mrr"))
@@ -116,18 +139,18 @@ _W = _tfidf_sql(S.tokens_lower("text"), S.tokens_lower("text"))
 
 @query(f"WITH {_W}, r AS ({_RANK.format('sc')}) SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(round(score, 9), 4) AS score FROM r WHERE rank <= 10")
 def tfidf_word_topk(spark, sf):
-    return ranked(R.tfidf_scores(_docs(spark, sf), _asked(spark, sf)), 10).select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return ranked(index(spark, sf).cosine(_asked(spark, sf)), 10).select("qid", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query()
 def tfidf_char_topk(spark, sf):
-    return ranked(R.tfidf_scores(_docs(spark, sf, T.char_ngrams("text")), _asked(spark, sf, T.char_ngrams("text"))), 10)
+    return ranked(index(spark, sf, "char").cosine(_asked(spark, sf, T.char_ngrams("text"))), 10)
 
 
 @query(f"WITH {_TF}, sc AS ({_bm25()}), r AS ({_RANK.format('sc')}), {_W.replace('d AS', 'd2 AS', 1).replace('q AS', 'q2 AS', 1).replace('FROM d)', 'FROM d2)').replace('FROM q)', 'FROM q2)').replace('p AS (', 'p2 AS (').replace('FROM p ', 'FROM p2 ').replace('i AS (', 'i2 AS (').replace('JOIN i ', 'JOIN i2 ').replace('sc AS', 'sc2 AS')}, r2 AS ({_RANK.format('sc2')}), u AS (SELECT qid, doc_id, 1.0 / (60 + rank) AS s FROM r WHERE rank <= 100 UNION ALL SELECT qid, doc_id, 1.0 / (60 + rank) FROM r2 WHERE rank <= 100), f AS (SELECT qid, doc_id, sum(s) AS score FROM u GROUP BY 1, 2), k AS ({_RANK.format('f')}) SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM k WHERE rank <= 10".replace("USING (term)), dv", "USING (term)), dv"))
 def rrf_topk(spark, sf):
-    d, q = _docs(spark, sf), _asked(spark, sf)
-    fused = R.rrf([ranked(R.bm25_scores(d, q), 100), ranked(R.tfidf_scores(d, q), 100)])
+    held, q = index(spark, sf), _asked(spark, sf)
+    fused = R.rrf([ranked(held.bm25(q), 100), ranked(held.cosine(q), 100)])
     return ranked(fused, 10).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -9,6 +9,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; one of this machine only where Spark runs on it alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import atexit
+        import shutil
+        import tempfile
+
+        named = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quillspan-"))
+        atexit.register(shutil.rmtree, named, True)
+    return named.rstrip("/")
+
+
+_OWN: dict[str, str] = {}
+
+
 def nested_qa(spark: SparkSession, path: str) -> DataFrame:
     """qid, question, answers … of ``data[].qas[]`` JSON; a reused id gets #n."""
     schema = "data array<struct<passage_id:string,context:string,title:string,qas:array<struct<question_id:string,question_text:string,is_answerable:string,question_type:string,answers:struct<answer_text:array<string>,answer_type:array<string>>>>>>"
