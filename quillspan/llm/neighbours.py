@@ -11,7 +11,8 @@ queries; the block's best k go on, and the best k of these are the result.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, neither as
 query nor as candidate; an empty table gives no rows; repeated rows with one id are one vector (the
-first by content); ties go to the smaller id; a query without candidates has no rows.
+first by content); ties go to the smaller id; a query without candidates has no rows; vectors of several
+dimensions are searched each among its own; columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -80,15 +81,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(chunks, 2).alias("chunk"), "vec_id", "embedding")
 
     def task(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "vec_id", "score"]
-        if not len(b) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
         b, q = b.sort_values("vec_id"), q.sort_values("vec_id")
-        width = max(map(len, q["embedding"]))
-        same = b["embedding"].map(len) == width
-        b = b[same]
-        q = q[q["embedding"].map(len) == width]
-        return pd.DataFrame(dict(zip(columns, search_block(b["vec_id"].to_numpy(), _unit(b["embedding"]), q["vec_id"].to_numpy(), _unit(q["embedding"]), k))))
+        # A query meets the vectors of its own dimension.
+        for width, own in q.groupby(q["embedding"].map(len)):
+            like = b[b["embedding"].map(len) == width]
+            if len(like):
+                found.append(pd.DataFrame(dict(zip(found[0].columns, search_block(like["vec_id"].to_numpy(), _unit(like["embedding"]), own["vec_id"].to_numpy(), _unit(own["embedding"]), k)))))
+        return pd.concat(found)
 
     near = base.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(task, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

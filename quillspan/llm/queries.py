@@ -41,7 +41,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     out = quality.scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (quality.fold() == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(quality.fold() == quality.HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_secrets, op4_line_dedup, op5_quality, op6_jaccard_join, op7_chat_tree, op8_sharding, op9_neighbours, op10_suffix_dedup)}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format('text')} AS w FROM benchmark), d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+bi AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0), bw AS (SELECT DISTINCT item, n, array_to_string(w[i + 1:i + n], ' ') AS g FROM bi), ns AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT r, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS i FROM d, ns), dw AS (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS g FROM di), h AS (SELECT * FROM dw SEMI JOIN bw USING (n, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r), own AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h JOIN bw USING (n, g) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
+}

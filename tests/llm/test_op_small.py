@@ -272,6 +272,20 @@ def test_neighbours(spark):
     assert neighbours.search(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_neighbours_of_several_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [0.9, 0.1, 0.0]), (100, [1.0])]
+    v = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(v, v.filter("vec_id % 50 = 0"), 5).collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 2), (50, 1, 51)]
+
+
+def test_op1_against_sql(spark):
+    from tests.compare import differences
+
+    diff, n, m = differences(spark, Q.QUERIES["op1_decontamination"], Q.ORACLES["op1_decontamination"], "/root/testdata/sf0.001")
+    assert not diff and n == m == 200
+
+
 @pytest.mark.parametrize("name", ["op3_secrets", "op5_quality", "op4_line_dedup"])
 def test_a_row_for_each_document(spark, name):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == 200
