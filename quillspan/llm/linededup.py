@@ -74,9 +74,12 @@ def _keys(m: Column) -> Column:
 
 def _templates(lines: DataFrame) -> DataFrame:
     """mh, template: the lines that belong to a template of more than one text."""
-    texts = lines.filter("toks is not null").groupBy("leaf", "mh").agg(F.count("*").alias("rows"), F.first("toks").alias("toks"))
-    varied = texts.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("leaf_rows")).filter((F.col("texts") > 1) & (F.col("leaf_rows") >= MIN_DOCS)).select("leaf")
-    texts = written(texts.join(varied, "leaf").select("leaf", "mh", "toks", F.lit(False).alias("is_lead")))
+    full = lines.filter("toks is not null")
+    # Leaves are told apart by counts alone; tokens are shuffled only for leaves that hold several texts.
+    counted = full.groupBy("leaf", "mh").agg(F.count("*").alias("rows"))
+    varied = counted.groupBy("leaf").agg(F.count("*").alias("texts"), F.sum("rows").alias("leaf_rows")).filter((F.col("texts") > 1) & (F.col("leaf_rows") >= MIN_DOCS)).select("leaf")
+    texts = full.join(written(varied), "leaf").groupBy("leaf", "mh").agg(F.first("toks").alias("toks"))
+    texts = written(texts.select("leaf", "mh", "toks", F.lit(False).alias("is_lead")))
     found, turn, quiet = texts.select("mh", F.col("mh").alias("template")).limit(0), 0, 0
     while quiet < 2:
         # Leads come first in every other turn; else the order is the turn's own, so that no text stands before others for good.
