@@ -2,8 +2,8 @@
 
 Vectors of unit length are projected to PROJECTIONS random lines. In each block of vectors every line
 is one sorted array. A query's windows on all lines are centred at its own projections and grow
-together (virtual rehashing: the width doubles, no bucket is fixed); a vector met on COLLIDE or more of
-the lines is verified by its exact cosine. A query stops when the best ``k`` verified lie so near that
+together (virtual rehashing: the width grows by WIDER, no bucket is fixed, and each step counts only what
+it adds); a vector met on COLLIDE or more of the lines is verified by its exact cosine. A query stops when the best ``k`` verified lie so near that
 farther windows would hold a nearer vector only with small probability, or all have been verified.
 
 Queries meet all rows block by block: each task holds a block of BLOCK vectors and one of QUERIES
@@ -21,8 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-PROJECTIONS, COLLIDE, SEED = 40, 0.65, 11
-WIDTH, NEAR = 0.02, 1.0
+PROJECTIONS, COLLIDE, SEED = 128, 0.69, 11
+WIDTH, WIDER, NEAR = 0.5, 1.1, 1.12
 BLOCK, QUERIES = 16_384, 2_048
 
 
@@ -40,35 +40,45 @@ def _unit(rows) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int):
-    """(query, id, score) arrays: for each query its best k verified vectors of this block, its own id left out."""
-    lines = np.random.default_rng(SEED).normal(size=(x.shape[1], PROJECTIONS))
+    """(query, id, score, verified) arrays: for each query its best k verified vectors of this block, its own
+    id left out, and how many were verified."""
+    n, lines = len(x), np.random.default_rng(SEED).normal(size=(x.shape[1], PROJECTIONS))
     px, pq = x @ lines, q @ lines
+    # The sorted arrays of all lines lie one after another, told apart by a shift that no window spans.
+    first = np.arange(PROJECTIONS) * n
+    shift = np.arange(PROJECTIONS) * 4 * (1 + max(np.abs(px).max(initial=0), np.abs(pq).max(initial=0)))
     order = np.argsort(px, axis=0, kind="stable")
-    value = np.take_along_axis(px, order, axis=0)
+    value = (np.take_along_axis(px, order, axis=0) + shift).T.ravel()
+    order = order.T.ravel()
     need, out = int(np.ceil(COLLIDE * PROJECTIONS)), []
     for i in range(len(q)):
-        half, seen = WIDTH, np.zeros(len(x), bool)
-        found = np.zeros(0, np.int64)
-        score = np.zeros(0)
+        centre = pq[i] + shift
+        low = high = np.searchsorted(value, centre)
+        count, seen = np.zeros(n, np.int64), ids == qids[i]
+        found, score, half = np.zeros(0, np.int64), np.zeros(0), WIDTH
         while True:
-            hits = [order[np.searchsorted(value[:, j], pq[i, j] - half) : np.searchsorted(value[:, j], pq[i, j] + half, "right"), j] for j in range(PROJECTIONS)]
-            count = np.bincount(np.concatenate(hits), minlength=len(x))
-            new = np.flatnonzero((count >= need) & ~seen & (ids != qids[i]))
+            # Only what the wider windows add is counted.
+            a, b = np.searchsorted(value, centre - half), np.searchsorted(value, centre + half, "right")
+            a, b = np.maximum(np.minimum(a, low), first), np.minimum(np.maximum(b, high), first + n)
+            ring = [order[s:e] for s, e in zip(np.concatenate([a, high]), np.concatenate([low, b]))]
+            count += np.bincount(np.concatenate(ring), minlength=n)
+            low, high = a, b
+            new = np.flatnonzero((count >= need) & ~seen)
             if len(new):
                 seen[new] = True
                 found, score = np.append(found, new), np.append(score, (x[new] * q[i]).sum(axis=1))
-            if count.min() == PROJECTIONS:
+            if (high - low).min() == n:
                 break  # every window holds the whole block
             if len(found) >= k:
                 kth = np.partition(score, -k)[-k]
                 # A vector at distance d meets a line's window of half width h with probability erf(h / d / sqrt 2);
-                # at h = NEAR * d * 1.2 and above, nearly all nearer ones reach the threshold.
-                if half >= NEAR * 1.2 * np.sqrt(max(2 - 2 * kth, 0)):
+                # at h = NEAR * d that lies above COLLIDE by more than the lines' scatter.
+                if half >= NEAR * np.sqrt(max(2 - 2 * kth, 0)):
                     break
-            half *= 2 if len(found) < k else 1.3
+            half *= WIDER
         best = np.lexsort((ids[found], -score))[:k]
-        out.append((np.full(len(best), qids[i]), ids[found[best]], score[best]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else ((), (), ())
+        out.append((np.full(len(best), qids[i]), ids[found[best]], score[best], np.full(len(best), len(found))))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else ((), (), (), ())
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -87,7 +97,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for width, own in q.groupby(q["embedding"].map(len)):
             like = b[b["embedding"].map(len) == width]
             if len(like):
-                found.append(pd.DataFrame(dict(zip(found[0].columns, search_block(like["vec_id"].to_numpy(), _unit(like["embedding"]), own["vec_id"].to_numpy(), _unit(own["embedding"]), k)))))
+                found.append(pd.DataFrame(dict(zip(found[0].columns, search_block(like["vec_id"].to_numpy(), _unit(like["embedding"]), own["vec_id"].to_numpy(), _unit(own["embedding"]), k)[:3]))))
         return pd.concat(found)
 
     near = base.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(task, "query_id long, vec_id long, score double")

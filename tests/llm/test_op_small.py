@@ -272,6 +272,17 @@ def test_neighbours(spark):
     assert neighbours.search(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_counting_prunes_and_finds():
+    """2,000 unit vectors without any structure, the hardest case: recall, and the share that is verified."""
+    x = np.random.default_rng(8).normal(size=(2000, 64))
+    x, ids = x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(2000)
+    qs = ids[::50]
+    query, found, score, verified = neighbours.search_block(ids, x, qs, x[qs], 5)
+    assert np.allclose(score, (x[query] * x[found]).sum(axis=1)) and len(found) == 5 * len(qs)
+    hit = sum(len(set(found[query == i]) & set(np.argsort(-np.where(ids == i, -2, x @ x[i]))[:5])) for i in qs)
+    assert hit >= 0.9 * 5 * len(qs) and np.mean(verified) < 0.4 * len(ids)
+
+
 def test_neighbours_of_several_dimensions(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [0.9, 0.1, 0.0]), (100, [1.0])]
     v = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
