@@ -64,15 +64,19 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    docs = []
+    # Two arrays of all texts instead of two for each, so that the driver gets their memory back whole.
+    idxs, shares, cut = bytearray(), bytearray(), [0]
     for t in texts:
         found = list(features(t.encode()))
-        idx, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
-        docs.append((idx, (c / max(c.sum(), 1)).astype(np.float32)))
-    steps, done = EPOCHS * len(docs), 0
+        idx, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0))
+        idxs += idx.astype(np.uint32).tobytes()
+        shares += (c / max(c.sum(), 1)).astype(np.float32).tobytes()
+        cut.append(cut[-1] + len(idx))
+    idxs, shares = np.frombuffer(idxs, np.uint32), np.frombuffer(shares, np.float32)
+    steps, done = EPOCHS * len(labels), 0
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(docs)):
-            idx, share = docs[k]
+        for k in rng.permutation(len(labels)):
+            idx, share = idxs[cut[k] : cut[k + 1]], shares[cut[k] : cut[k + 1]]
             rate = RATE * (1 - done / steps)
             done += 1
             rows = table[idx]

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -141,6 +143,22 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0))[1] == 0.0
 
 
+_TRAINED = """
+import random, psutil
+from quillspan.llm import quality
+drawn = random.Random(3)
+texts = ["".join(drawn.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)) for _ in range(2500)]
+quality.train(texts[:50], [0, 1] * 25)
+before = psutil.Process().memory_info().rss
+quality.train(texts, [0, 1] * 1250)
+print(psutil.Process().memory_info().rss - before >> 20)
+"""
+
+
+def test_training_gives_its_memory_back():
+    assert int(subprocess.run([sys.executable, "-c", _TRAINED], capture_output=True, text=True, check=True, timeout=120).stdout) < 40
+
+
 def similar(rows):
     sets = []
     for _, t in rows:
