@@ -33,8 +33,9 @@ LENGTH = 2048
 END = 1
 DIMS, AXES, BITS, SEED = 64, 3, 16, 20240607
 _BLOCK = 1 << 18
-#: Words whose ids a worker remembers, with about 250 bytes each; it starts anew beyond.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers; it starts anew beyond. Those of plain texts are kept in arrays,
+#: others with about 250 bytes each.
+KNOWN, REMEMBERED = 1_000_000, 300_000
 STRETCHES = 1024
 
 
@@ -113,6 +114,57 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+class Known:
+    """The ids of words, told by a hash of their bytes that is then checked byte by byte: arrays of fixed
+    size, which take memory only as they fill, with about 50 bytes a word."""
+
+    def __init__(self):
+        self.n, self.table = 0, np.zeros(1 << (4 * KNOWN - 1).bit_length(), np.int32)  # 0: free; else the word's number and 1
+        self.hashed, self.raw, self.ids = np.empty(KNOWN, np.uint64), np.empty(16 * KNOWN, np.uint8), np.empty(4 * KNOWN, "<u4")
+        # Where each word's bytes and ids begin, and the last one's end.
+        self.raw_at, self.ids_at = np.zeros(KNOWN + 1, np.int32), np.zeros(KNOWN + 1, np.int32)
+
+    def _slots(self, hashed: np.ndarray) -> np.ndarray:
+        return (hashed >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def find(self, hashed: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is not held."""
+        out, slot, todo = np.full(len(hashed), -1), self._slots(hashed), np.arange(len(hashed))
+        while len(todo):
+            word = self.table[slot[todo]].astype(np.int64) - 1
+            todo, word = todo[word >= 0], word[word >= 0]
+            same = self.hashed[word] == hashed[todo]
+            out[todo[same]] = word[same]
+            todo = todo[~same]
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
+        here = np.flatnonzero(out >= 0)
+        word = out[here]
+        like = self.raw_at[word + 1] - self.raw_at[word] == size[here]
+        out[here[~like]] = -1
+        here, word = here[like], word[like]
+        n = size[here]
+        differ = self.raw[_spread(self.raw_at[word].astype(np.int64), n)] != raw[_spread(start[here], n)]
+        out[np.repeat(here, n)[differ]] = -1
+        return out
+
+    def add(self, hashed: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> bool:
+        """Takes in words of distinct hashes that find() has not found, their bytes and ids one after another; False if there is no room."""
+        new, at, ids_at = len(hashed), int(self.raw_at[self.n]), int(self.ids_at[self.n])
+        if self.n + new > KNOWN or at + len(raw) > len(self.raw) or ids_at + len(ids) > len(self.ids):
+            return False
+        own = np.arange(self.n, self.n + new)
+        self.hashed[own], self.raw[at : at + len(raw)], self.ids[ids_at : ids_at + len(ids)] = hashed, raw, ids
+        self.raw_at[own + 1], self.ids_at[own + 1] = at + np.cumsum(size), ids_at + np.cumsum(count)
+        slot, todo = self._slots(hashed), np.arange(new)
+        while len(todo):
+            free = todo[self.table[slot[todo]] == 0]
+            self.table[slot[free]] = own[free] + 1
+            todo = todo[self.table[slot[todo]] != own[todo] + 1]
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
+        self.n += new
+        return True
+
+
 class Ids:
     """Ids of texts, by way of their words: the tokenizer splits at white space and between
     letters and other signs, so the ids of a text are those of its pieces, which recur.
@@ -127,22 +179,41 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known, self.plain = Tokenizer.from_file(path), {}, Known()
         vocabulary = self.tok.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of plain words, many in one call: each ends with the one id that marks a word's end."""
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of plain words, many in one call: each ends with the one id that marks a word's end."""
+        out, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, cut = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.known.update(zip(part, (raw[x:y] for x, y in zip(cut, cut[1:]))))
-            else:
-                self._learn_apart(part)
+            if len(ends) != len(part):
+                apart = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                ids, ends = np.concatenate(apart), np.cumsum([len(x) for x in apart])
+            out.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _plain_words(self, hashed: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each) of the words at start, told apart by their hashes."""
+        held = self.plain.find(hashed, raw, start, size)
+        old, new = np.flatnonzero(held >= 0), np.flatnonzero(held < 0)
+        data = raw[_spread(start[new], size[new])]
+        text, cut = data.tobytes().decode("latin-1"), np.cumsum(size[new])
+        fresh, fresh_count = self._learned([text[x:y] for x, y in zip((cut - size[new]).tolist(), cut.tolist())])
+        held, count = held[old], np.empty(len(start), np.int64)
+        count[old], count[new] = self.plain.ids_at[held + 1] - self.plain.ids_at[held], fresh_count
+        begin, ids = np.cumsum(count) - count, np.empty(count.sum(), "<u4")
+        ids[_spread(begin[old], count[old])] = self.plain.ids[_spread(self.plain.ids_at[held].astype(np.int64), count[old])]
+        ids[_spread(begin[new], fresh_count)] = fresh
+        if not self.plain.add(hashed[new], data, size[new], fresh, fresh_count):
+            self.plain = Known()  # starts anew with these, if there is room for them at all
+            self.plain.add(hashed[new], data, size[new], fresh, fresh_count)
+        return ids, count
 
     def _learn_apart(self, words: list[str]) -> None:
         for at in range(0, len(words), 10_000):
@@ -150,10 +221,10 @@ class Ids:
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _recall(self, words: list[str], learn) -> list[bytes]:
+    def _recall(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        learn([w for w in words if w not in self.known])
+        self._learn_apart([w for w in words if w not in self.known])
         return [self.known[w] for w in words]
 
     def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -171,11 +242,12 @@ class Ids:
         _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
         size = end - start
         if (size != size[first][which]).any() or (raw[_spread(start, size)] != raw[_spread(start[first][which], size)]).any():
-            which = first = np.arange(len(start))  # two words share a hash: look up every word
-        data = raw.tobytes().decode("latin-1")
-        found = self._recall([data[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())], lambda w: self._learn(list(dict.fromkeys(w))))
-        count = np.array([len(f) // 4 for f in found], np.int64)
-        ids = np.frombuffer(b"".join(found), "<u4")[_spread((np.cumsum(count) - count)[which], count[which])]
+            # Two words share a hash: learn every word, and remember none.
+            which, data = np.arange(len(start)), raw.tobytes().decode("latin-1")
+            found, count = self._learned([data[x:y] for x, y in zip(start.tolist(), end.tolist())])
+        else:
+            found, count = self._plain_words(hashed[first], raw, start[first], size[first])
+        ids = found[_spread((np.cumsum(count) - count)[which], count[which])]
         text_end = np.cumsum([len(t) + 1 for t in texts])
         cut = np.concatenate([[0], np.cumsum(count[which])])[np.searchsorted(start, text_end)]
         return np.split(ids, cut[:-1])
@@ -185,7 +257,7 @@ class Ids:
         if not self._plain.fullmatch(text) or "<|" in text:
             words = self._blanks.findall(text)
             here = list(dict.fromkeys(words))
-            ids = dict(zip(here, self._recall(here, self._learn_apart)))
+            ids = dict(zip(here, self._recall(here)))
             return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4")]
         return [x for part in self._long.findall(text.lower()) for x in self._plain_ids([part])]
 

@@ -318,3 +318,33 @@ def test_op1_against_sql(spark):
 @pytest.mark.parametrize("name", ["op3_secrets", "op5_quality", "op4_line_dedup"])
 def test_a_row_for_each_document(spark, name):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == 200
+
+
+def _words(n: int) -> list[str]:
+    return ["".join("abcdefghijklmnop"[i >> 4 * k & 15] for k in range(5)) for i in range(n)]
+
+
+def test_words_are_learned_once():
+    ids, asked = packing.Ids(Q.tokenizer_path()), []
+    texts = [" ".join(w) for w in np.array_split(_words(400_000), 400)]
+    first = ids(texts)
+
+    class Counting:
+        def __getattr__(self, name):
+            return lambda x, **more: asked.extend(x) or getattr(plain, name)(x, **more)
+
+    plain, ids.tok = ids.tok, Counting()
+    assert [x.tobytes() for x in ids(texts)] == [x.tobytes() for x in first] and not asked
+
+
+def test_words_whatever_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN", 50)
+    ids = packing.Ids(Q.tokenizer_path())
+    texts = ["", " ", " ".join(_words(40)), " ".join(_words(60)), "Été 12 x-y, x" * 3, "l'\x80\u4e2d \n b", "a" * 300_000, " ".join(_words(30)), "a" * 2000]
+    want = [[*ids.tok.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert [x.tolist() for x in ids(texts)] == want
+    assert [ids([t])[0].tolist() for t in texts * 2] == want * 2
+    # Words of one hash are told apart by their bytes, within a call and between calls.
+    monkeypatch.setattr(packing, "_SIGN", np.zeros(256, np.uint64))
+    assert [x.tolist() for x in ids(texts)] == want
+    assert [ids([t])[0].tolist() for t in ["a b", "c", "b", "c", "dd", "c"]] == [[*ids.tok.encode(t, add_special_tokens=False).ids, packing.END] for t in ["a b", "c", "b", "c", "dd", "c"]]
