@@ -348,3 +348,18 @@ def test_words_whatever_is_remembered(monkeypatch):
     monkeypatch.setattr(packing, "_SIGN", np.zeros(256, np.uint64))
     assert [x.tolist() for x in ids(texts)] == want
     assert [ids([t])[0].tolist() for t in ["a b", "c", "b", "c", "dd", "c"]] == [[*ids.tok.encode(t, add_special_tokens=False).ids, packing.END] for t in ["a b", "c", "b", "c", "dd", "c"]]
+
+
+def test_lines_are_masked_only_where_they_have_digits(spark):
+    texts = [None, "", "a b\nc d", "a\tb  c\r\nd\fe f", "a 1b\nc d", "v2 x\ty  z9\n\n 7 8 \nq r", "٣ b\n  c d  ", "a b1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            words = ["<*>" if re.search("[0-9]", w) else w for w in re.sub(r"[ \t\r\f]+", " ", line).strip(" ").split(" ")]
+            if len(words) >= 2:
+                want.append((i, n, " ".join(words)))
+    lines = linededup._lines(rows, 2)
+    assert sorted((r.doc_id, r.line, r.masked) for r in lines.collect()) == want
+    # The pattern that masks is the costly part of op4: it stands behind a test for digits.
+    assert re.search(r"CASE WHEN RLIKE\(text#\d+, \[0-9\]\) THEN regexp_replace", lines._jdf.queryExecution().analyzed().toString(), re.I)
