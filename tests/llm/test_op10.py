@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from quillspan.llm import suffixes
 
 
@@ -53,3 +55,12 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect())
     assert sorted((tuple(r) for r in suffixes.remove_repeated(docs).collect()), key=repr) == brute(rows)
+
+
+def test_runs_are_few_and_hold_every_window():
+    data = np.random.default_rng(4).integers(0, 256, 400_000, np.uint8).tobytes()
+    which, _, start, windows, left = suffixes.runs([data])
+    assert len(which) * 37 < len(data) and windows.max() < 128 and left.max() < 128
+    assert (start[1:] == (start + windows)[:-1]).all() and start[0] == 0 and windows.sum() == len(data) - suffixes.SPAN + 1
+    # Each window of a run holds the whole anchor.
+    assert (left >= windows - 1).all() and (left + suffixes.GRAM <= suffixes.SPAN).all()
