@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -15,6 +17,8 @@ BENGALI_DIGITS, ASCII_DIGITS = "\u09e6\u09e7\u09e8\u09e9\u09ea\u09eb\u09ec\u09ed
 #: Code points of the Bengali block that canonical composition changes.
 DECOMPOSED = (("\u09dc", "\u09a1\u09bc"), ("\u09dd", "\u09a2\u09bc"), ("\u09df", "\u09af\u09bc"))
 COMPOSED = (("\u09c7\u09be", "\u09cb"), ("\u09c7\u09d7", "\u09cc"))
+#: How all characters that normalisation translates or composes begin in UTF-8 (the last is the no-break space).
+FIRST_BYTES = (bytearray(b"\xe0"), bytearray(b"\xe2"), bytearray(b"\xef"), bytearray(b"\xc2\xa0"))
 
 
 def col(c) -> Column:
@@ -45,18 +49,29 @@ def nfc(c) -> Column:
     return run(col(c))
 
 
+def _letters(c, fold_digits: bool = True) -> Column:
+    """Letters and signs of the normalised form; texts without any of FIRST_BYTES have nothing that it changes."""
+
+    def changed(t: Column) -> Column:
+        t = F.replace(F.translate(nfc_bengali(t), PUNCT_FROM + ZERO_WIDTH, PUNCT_TO), F.lit("…"), F.lit("..."))
+        return F.translate(t, BENGALI_DIGITS, ASCII_DIGITS) if fold_digits else t
+
+    return let(col(c), lambda t: F.when(reduce(Column.__or__, [F.contains(t.cast("binary"), F.lit(b)) for b in FIRST_BYTES]), changed(t)).otherwise(t))
+
+
 def normalize(c, fold_digits: bool = True) -> Column:
-    c = F.translate(nfc_bengali(c), PUNCT_FROM + ZERO_WIDTH, PUNCT_TO)
-    c = F.replace(c, F.lit("…"), F.lit("..."))
-    if fold_digits:
-        c = F.translate(c, BENGALI_DIGITS, ASCII_DIGITS)
-    for pattern, to in ((r"[ \t\r\f\x0B]+", " "), (r"\n{3,}", "\n\n"), (r"(?U)\s+([।,;:?!)\]}])", "$1"), (r"(?U)([(\[{])\s+", "$1"), (r"(?U)^\s+|\s+\z", "")):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    # Most texts hold nothing for most of the passes: a look for a few signs is cheaper than a replacement.
+    has = lambda t, *signs: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in signs])
+    blanks = let(_letters(c, fold_digits), lambda t: F.when(has(t, "  ", "\t", "\r", "\f", "\x0b"), F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")).otherwise(t))
+    lines = let(blanks, lambda t: F.when(has(t, "\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t))
+    joined = F.regexp_replace(F.regexp_replace(lines, r"(?U)\s+([।,;:?!)\]}])", "$1"), r"(?U)([(\[{])\s+", "$1")
+    blank = lambda t: t.rlike(r"(?U)\A\s")
+    return let(joined, lambda t: F.when(blank(F.left(t, F.lit(1))) | blank(F.right(t, F.lit(1))), F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")).otherwise(t))
 
 
 def normalize_for_match(c) -> Column:
-    c = F.regexp_replace(F.lower(normalize(c)), r"(?U)[^\u0980-\u09FFa-z0-9\s]", " ")
+    # What normalize does to white space makes no difference here, as each run of other signs becomes one blank.
+    c = F.regexp_replace(F.lower(_letters(c)), r"(?U)[^\u0980-\u09FFa-z0-9\s]", " ")
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
