@@ -263,6 +263,7 @@ def contained_spans(spark, sf):
 @query("SELECT count(DISTINCT text) AS texts, true AS same FROM documents")
 def minhash_signatures(spark, sf):
     """Distinct texts, and whether equal ones have one signature of 64 values."""
-    d = table(spark, sf, "documents").select("text", C.minhash("text").alias("m"))
-    one = d.groupBy("text").agg(F.count_distinct("m").alias("k"), F.min(F.size("m")).alias("n"))
-    return one.agg(F.count("*").alias("texts"), F.bool_and((F.col("k") == 1) & (F.col("n") == 64)).alias("same"))
+    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("text"), C.minhash("text").alias("m")).select("text", F.xxhash64("m").alias("x"), F.xxhash64(F.lit(1), "m").alias("y"), F.size("m").alias("n"))
+    one = d.groupBy("text").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y", "n")])
+    alike = [F.col(f"min_{c}") == F.col(f"max_{c}") for c in ("x", "y")]
+    return one.filter("text is not null").agg(F.count("*").alias("texts"), F.bool_and(alike[0] & alike[1] & (F.col("min_n") == 64) & (F.col("max_n") == 64)).alias("same"))

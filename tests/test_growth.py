@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import retrieval as R
+from quillspan.operators import corpus as C, retrieval as R
 from quillspan.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,47 @@ def test_normal_forms_of_odd_texts(spark):
 def test_normal_text_passes_few_replacements(spark):
     # A pass that few texts need is taken only by these.
     assert "CASE WHEN" in plan(spark.createDataFrame([("a",)], "t string").select(T.normalize("t")))
+
+
+def near_texts(spark):
+    r = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = [f"w{r.randint(0, 400)}" for _ in range(60)]
+        for c in range(4):
+            words = list(base)
+            for _ in range(c // 2 * r.randint(0, 2)):
+                words[r.randint(0, 59)] = f"x{r.randint(0, 9)}"
+            rows.append(" ".join(words + ["all rights of this text are reserved by those who wrote it"]))
+    rows += ["", "", "one", "one two", "one, two!", None, "one two three"]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    return spark.createDataFrame([(order[i], t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+
+
+def test_near_pairs_and_survivors_by_brute_force(spark):
+    docs = near_texts(spark)
+    sets = {}
+    for r in docs.filter("text is not null").select("doc_id", F.split(T.normalize_for_match("text"), " ").alias("w")).collect():
+        sets[r.doc_id] = {tuple(r.w[i : i + 3]) for i in range(max(1, len(r.w) - 2))}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.85}
+    assert {(r.a, r.b): r.jaccard for r in C.near_pairs(docs).collect()} == want and any(v < 1 for v in want.values())
+    alive = []
+    for d in sorted(r.doc_id for r in docs.select("doc_id").collect()):
+        if not any((x, d) in want for x in alive):
+            alive.append(d)
+    assert sorted(r.doc_id for r in C.near_dedup(docs).collect()) == alive
+
+
+def test_signatures_need_no_spelt_shingles(spark):
+    df = near_texts(spark).select("doc_id", C.minhash("text").alias("m"))
+    assert "ArrowEvalPython" in plan(df)
+    got = {r.doc_id: r.m for r in df.collect()}
+    texts = {r.doc_id: r.text for r in near_texts(spark).collect()}
+    assert all((got[d] is None) == (t is None) for d, t in texts.items()) and all(len(m) == 64 for m in got.values() if m)
+    one, two = ([d for d, t in texts.items() if t == x][0] for x in ("one two", "one, two!"))
+    assert got[one] == got[two]
+    # Shares of equal values estimate the likeness of sets.
+    for r in C.near_pairs(near_texts(spark)).collect():
+        assert abs(sum(x == y for x, y in zip(got[r.a], got[r.b])) / 64 - r.jaccard) < 0.25
