@@ -35,7 +35,10 @@ SENTENCE = ["qid", "pid", "s_start"]
 def top_sentences(hits: DataFrame, top: int = TOP) -> DataFrame:
     """hits with q, idf, sentence, s_start, s_end, words (of the sentence), cos_q_sentence, sentence_score, sentence_rank: of each
     passage the ``top`` sentences with most of the question's weight and trigrams, earlier ones first among equals."""
-    s = hits.join(_weights(hits), "qid").select("*", F.posexplode(T.sentence_spans("text")).alias("_i", "s"))
+    # Little data, much work a row: dealt out by number, else small partitions would be put together again.
+    context = hits.sparkSession.sparkContext
+    parts = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
+    s = hits.join(_weights(hits), "qid").repartition(parts, "qid", "pid").select("*", F.posexplode(T.sentence_spans("text")).alias("_i", "s"))
     s = s.withColumns({"sentence": F.col("s.sentence"), "s_start": F.col("s.start"), "s_end": F.col("s.end"), "words": T.tokenize_lower("s.sentence")}).drop("s")
     all_q = _weight(F.col("q"), F.col("idf"))
     lexical = _weight(F.array_intersect("q", "words"), F.col("idf")) / F.when(all_q == 0, 1.0).otherwise(all_q)
@@ -48,18 +51,59 @@ def candidates(sentences: DataFrame, longest: int = LONGEST) -> DataFrame:
     """qid, pid, s_start, kind, start, end (in the passage), tokens, text: runs of 1 to ``longest`` tokens that are not stopwords
     only and fit the class, and for reasons and processes whole clauses; of equal texts in a passage the first by sentence,
     clauses first, then start, then length."""
-    key = [*SENTENCE, "kind", "sentence_rank"]
     stop = V._among(sorted(set(L.STOPWORDS) - set(L.VETO_SAFE)))
+    clauses = F.when(F.col("kind").isin("REASON", "PROCESS"), F.transform(T.clauses("sentence"), lambda c: F.struct(F.size(T.tokenize(c)).alias("tokens"), c.alias("text"))))
+    # A passage has its sentences in one row, so that its candidates are told apart where they are made.
+    rows = sentences.groupBy("qid", "pid").agg(F.sort_array(F.collect_list(F.struct("sentence_rank", "s_start", "kind", "sentence", clauses.alias("clauses")))).alias("s"))
+    ids = ", ".join(f"{c} {sentences.schema[c].dataType.simpleString()}" for c in ("qid", "pid"))
+    one = rows.mapInArrow(_spans(longest, set(L.STOPWORDS) - set(L.VETO_SAFE)), f"{ids}, s_start int, kind string, start int, end int, tokens int, text string, _a boolean")
     alive = F.exists(T.tokenize_lower("text"), lambda t: ~F.array_contains(stop, t)) & V.span_matches_class("text", F.col("kind"))
-    placed = lambda start, end: (*key, (F.col("s_start") + start).alias("start"), (F.col("s_start") + end).alias("end"), "tokens", "text")
-    grams = P.candidates(sentences.select(*key, "sentence"), key, "sentence", longest).select(*placed(F.col("start"), F.col("end")), F.lit(1).alias("_k"))
-    at = F.call_function("locate", F.col("text"), F.col("sentence"))
-    whole = sentences.filter(F.col("kind").isin("REASON", "PROCESS")).select(*key, "sentence", F.explode(T.clauses("sentence")).alias("text")).withColumn("tokens", F.size(T.tokenize("text")))
-    whole = whole.select(*placed(at - 1, at - 1 + F.length("text")), F.lit(0).alias("_k"))
-    order = F.struct("sentence_rank", "_k", "start", "tokens")
-    one = grams.unionByName(whole).groupBy("qid", "pid", F.lower("text").alias("_low")).agg(F.min_by(F.struct("s_start", "kind", "sentence_rank", "start", "end", "tokens", "text", "_k"), order).alias("c")).select("qid", "pid", "c.*")
     # Judged once a text: what does not fit goes after the texts are told apart, since equal ones fare alike.
-    return one.filter((F.col("_k") == 0) | alive).drop("_k", "sentence_rank")
+    return one.filter(F.when(F.col("_a").isNotNull(), F.col("_a")).otherwise(alive)).drop("_a")
+
+
+def _spans(longest: int, stop: set):
+    """Candidates of passages, with _a: whether they fit, null where that takes a closer look (a class that asks for more than
+    length, or letters whose normal form a part of the sentence may have otherwise)."""
+    import re
+
+    token, odd = re.compile(T.TOKEN), re.compile("[^\\x00-\u08ff]|[\xa0\u0130]")
+
+    def made(passage: list[dict]) -> dict:
+        best = {}
+        for s in passage:
+            text, at, kind = s["sentence"], s["s_start"], s["kind"]
+            for start, tokens, part in sorted((text.find(c["text"]), c["tokens"], c["text"]) for c in s["clauses"] or ()):
+                best.setdefault(part.lower(), (at, kind, at + start, at + start + len(part), tokens, part, True))
+            found = [m.span() for m in token.finditer(text)]
+            live = [text[a:b].lower() not in stop for a, b in found]
+            plain = kind not in ("TIME", "NUMBER", "PERSON", "PLACE") and not odd.search(text)
+            least = 3 if kind in ("REASON", "PROCESS") else 1
+            low = text.lower()
+            low = low if len(low) == len(text) else None
+            for i, (a, _) in enumerate(found):
+                some = False
+                for k, (_, b) in enumerate(found[i : i + longest]):
+                    some = some or live[i + k]
+                    name = low[a:b] if plain and low else text[a:b].lower()
+                    if name not in best:
+                        best[name] = (at, kind, at + a, at + b, k + 1, text[a:b], some and k + 1 >= least if plain else None)
+        return best
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+        names = ["qid", "pid", "s_start", "kind", "start", "end", "tokens", "text", "_a"]
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                found = [list(made(p).values()) for p in part.column(2).to_pylist()]
+                at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                flat = list(zip(*[x for f in found for x in f])) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(c, t) for c, t in zip(flat, kinds)]], names=names)
+
+    return run
 
 
 def gold_rows(found: DataFrame, gold: DataFrame) -> DataFrame:

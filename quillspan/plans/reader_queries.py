@@ -61,7 +61,9 @@ def top_sentences(spark, sf):
 @query()
 def reader_candidates(spark, sf):
     found = R.candidates(R.top_sentences(_hits(spark, sf)))
-    return found.groupBy("qid", "pid").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"), F.count_distinct(F.lower("text")).alias("texts"))
+    low = F.lower("text")
+    told = F.count_distinct(F.xxhash64(low), F.xxhash64(F.lit(1), low))  # 128 bits in place of the texts
+    return found.groupBy("qid", "pid").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"), told.alias("texts"))
 
 
 @query()
