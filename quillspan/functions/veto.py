@@ -33,9 +33,14 @@ def polarity(tokens: Column) -> Column:
 def years(tokens: Column) -> Column:
     """Numbers of four digits in 1000 to 2100, or next to a year word or month."""
     cues = _among(L.YEAR_WORDS + L.MONTHS)
-    near = lambda i: F.array_contains(cues, F.coalesce(F.get(tokens, i - 1), F.lit(""))) | F.array_contains(cues, F.coalesce(F.get(tokens, i + 1), F.lit("")))
-    is_year = lambda t, i: t.rlike(r"^[0-9]+$") & (((F.length(t) == 4) & (t >= "1000") & (t <= "2100")) | near(i))
-    return F.array_distinct(F.filter(tokens, is_year))
+
+    def found(tokens: Column) -> Column:
+        near = lambda i: F.array_contains(cues, F.coalesce(F.get(tokens, i - 1), F.lit(""))) | F.array_contains(cues, F.coalesce(F.get(tokens, i + 1), F.lit("")))
+        is_year = lambda t, i: t.rlike(r"^[0-9]+$") & (((F.length(t) == 4) & (t >= "1000") & (t <= "2100")) | near(i))
+        return F.array_distinct(F.filter(tokens, is_year))
+
+    # Else a text would be tokenised again for each of its numbers.
+    return let(tokens, found)
 
 
 def numbers(text: Column) -> Column:

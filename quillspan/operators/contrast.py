@@ -13,12 +13,15 @@ KINDS = ("date", "numeral", "unit", "entity")
 
 
 def _values(kind: str, text: Column) -> Column:
-    x, t = T.normalize(text), T.tokenize(text)
-    if kind == "date":
-        return V.years(t)
-    if kind == "numeral":
-        return T.let(F.struct(V.numbers(x).alias("n"), V.years(t).alias("y")), lambda v: F.array_except(v["n"], v["y"]))
-    return V.bare_units(t) if kind == "unit" else F.array_sort(V.entities(x, t))
+    def found(x: Column, t: Column) -> Column:
+        if kind == "date":
+            return V.years(t)
+        if kind == "numeral":
+            return F.array_except(V.numbers(x), V.years(t))
+        return V.bare_units(t) if kind == "unit" else F.array_sort(V.entities(x, t))
+
+    # Text and tokens are made once, whatever the values are looked for by.
+    return T.let(T.normalize(text), lambda x: T.let(F.struct(x.alias("x"), F.regexp_extract_all(x, F.lit(T.TOKEN), F.lit(0)).alias("t")), lambda v: found(v["x"], v["t"])))
 
 
 def pool(sentences: DataFrame, kind: str, text: str = "text") -> DataFrame:
